@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm._shared import split_of, table, tokenizer_path
+from corpuskit.llm._shared import new_path, split_of, table, tokenizer_path
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,32 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(docs, tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
-QUERIES = {"op3_bpe": op3_bpe}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.token_files import read_token_files, with_crc32, write_token_files
+
+    path = new_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return with_crc32(read_token_files(spark, path)).withColumnRenamed("key", "doc_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", split_of(F.col("doc_id"), 4) == 2)
+    model = train(docs.filter("NOT held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op7_mixing": op7_mixing,
+    "op8_token_files": op8_token_files,
+    "op9_language": op9_language,
+}
 ORACLES: dict[str, str] = {}
