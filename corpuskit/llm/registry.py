@@ -15,6 +15,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(docs, tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.warc import read_warc, write_warc
+
+    archives = write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    got = read_warc(spark, archives, ("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id"))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    return got.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.mixing import mix
 
@@ -39,6 +48,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op5_warc": op5_warc,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
