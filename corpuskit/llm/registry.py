@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from corpuskit.llm._shared import new_path, split_of, table, tokenizer_path
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.bpe import bpe
 
@@ -59,6 +65,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
