@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from corpuskit.llm._shared import new_path, split_of, table, tokenizer_path
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.ngram_join import near_duplicates
 
@@ -65,6 +71,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_top_k": op4_top_k,
