@@ -86,7 +86,7 @@ class Maker:
     def main(self, odd: list[str]) -> str:
         r = self.rnd
         inner = f"<h1>{self.words(2, 12)}</h1>" if r.random() < 0.75 else ""
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([1, 2, 2, 3, 4, 5, 8, 14])):
             inner += self.paragraph()
             x = r.random()
             if x < 0.08:
@@ -123,6 +123,8 @@ class Maker:
         if r.random() < 0.35:
             body = f"<div{self.attributes(WRAPPERS)}>{body}</div>"
         head = f"<head data-main='no'><meta charset=utf-8><title>{self.words(1, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        if r.random() < 0.15:  # a fragment
+            return body
         return f'<!DOCTYPE html><html lang="en">{head}<body data-main="no"><!-- x -->{body}</body></html>'
 
 

@@ -28,6 +28,8 @@ from corpuskit.llm.page_tree import RAW, STRUCTURAL, Node, clean, parse
 
 OUTSIDE, MAIN, BOTH = 0, 1, 2
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Log prior of a page's root: nearly every page holds main text and more.
+ROOT = np.array([-8.0, -5.0, 0.0])
 #: Pages whose trees go through the messages together, by nodes.
 NODES = 100_000
 
@@ -77,7 +79,7 @@ class Page:
             linked[p] += linked[i]
         self.length, self.linked = length, linked
         #: 0: box, 1: inline element, 2: text
-        self.kind = [2 if isinstance(x, str) else 0 if x.tag in STRUCTURAL else 1 for x, _, _ in self.nodes]
+        self.kind = [2 if isinstance(x, str) else 0 if x.tag in STRUCTURAL or x is self.nodes[0][0] else 1 for x, _, _ in self.nodes]
 
     def seen(self, i: int) -> tuple:
         node, p, _ = self.nodes[i]
@@ -108,6 +110,7 @@ class Trees:
     def messages(self, across: np.ndarray, evidence: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """Log marginals of each node's states, and the log of the sum over all states. pairs, if given, gets the expected counts of (kind, parent's state, child's state)."""
         up, message, kind, parent = evidence.copy(), np.zeros_like(evidence), self.kind, self.parent
+        up[self.levels[0]] += ROOT
         for level in reversed(self.levels[1:]):
             m = np.logaddexp.reduce(across[kind[level]] + up[level][:, None, :], axis=2)
             message[level] = m

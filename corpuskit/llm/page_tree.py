@@ -22,7 +22,8 @@ CLOSES = {
 #: Elements that make a line of their own in a page; text of the others runs on.
 STRUCTURAL = BLOCKS | frozenset("html body head li dt dd tr td th thead tbody tfoot caption br option select button label legend textarea iframe object video audio canvas svg noscript template title".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/[a-zA-Z])[^>]*(?:>|\Z)", re.S)
+# Without backtracking: a tag that has a > somewhere behind it is always read in one go.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"']){0,2000}+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
@@ -47,8 +48,10 @@ def parse(page: str) -> Node:
     """The tree of a page. Never fails: stray end tags are passed over, open elements end where HTML lets them."""
     root = node = Node("#root", "", None)
     at, n = 0, len(page)
+    closing, comment = page.rfind(">"), page.find("<!--")
     while at < n:
-        m = TOKEN.search(page, at)
+        # with no > ahead there is no tag ahead
+        m = TOKEN.search(page, at) if at <= closing or comment >= 0 and page.find("<!--", at) >= 0 else None
         if m is None:
             node.parts.append(page[at:])
             break
