@@ -42,6 +42,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuskit.llm.hmm_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), split_of(F.col("doc_id"), 7) != 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuskit.llm.mixing import mix
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
+    "op6_hmm": op6_hmm,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
