@@ -1,4 +1,460 @@
-"""Every registered query with its SQL twin."""
+"""Every registered query of the library with its SQL twin, over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpuskit.functions import scalars, urls, vectors
+from corpuskit.functions.dom import PageOptions, markdown, page_fields
+from corpuskit.operators import collection, crawl, embedding, provider
+from corpuskit.sources import sinks
+from corpuskit.streaming import responses
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL that it must equal."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- vector search -------------------------------------------------------------------------
+
+DISTANCE = "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
+
+
+def _knn(where: str = "true", k: int = 10) -> str:
+    distance = DISTANCE.format(a="e.embedding", b="q.embedding")
+    return f"SELECT e.vec_id, round({distance}, 6) + 0.0 AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY {distance}, e.vec_id LIMIT {k}"
+
+
+def _first_vector(df: DataFrame) -> list[float]:
+    return df.filter("vec_id = 0").select("embedding").first()[0]
+
+
+@query(_knn())
+def knn_top10(spark, d):
+    e = table(spark, d, "embeddings")
+    return collection.nearest(e, _first_vector(e), 10, key="vec_id").select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+def _filtered(where: dict):
+    def run(spark, d):
+        e = table(spark, d, "embeddings")
+        return collection.nearest(e, _first_vector(e), 10, collection.compile_filter(where, F.col), key="vec_id").select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
+
+    return run
+
+
+for _name, _where, _sql in (
+    ("knn_filtered", {"label": 3}, "label = 3"),
+    ("knn_filtered_in", {"label": {"$in": [1, 2, 5]}}, "label IN (1, 2, 5)"),
+    ("knn_filtered_range", {"$and": [{"label": {"$gte": 2}}, {"label": {"$lt": 7}}, {"label": {"$ne": 4}}]}, "label >= 2 AND label < 7 AND label <> 4"),
+    ("knn_filtered_or", {"$or": [{"label": {"$lte": 1}}, {"label": {"$nin": [2, 3, 4, 5, 6]}}]}, "label <= 1 OR label NOT IN (2, 3, 4, 5, 6)"),
+):
+    QUERIES[_name], ORACLES[_name] = _filtered(_where), _knn(_sql)
+
+
+@query(f"SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({DISTANCE.format(a='q.embedding', b='e.embedding')}, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE.format(a='q.embedding', b='e.embedding')}, e.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
+def knn_batch_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return collection.nearest_batch(e, asked, 5, key="vec_id").select("query_id", "vec_id", (F.round("score", 6) + 0.0).alias("score"), "rank")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, label, CAST(NULL AS DOUBLE) AS score FROM embeddings WHERE vec_id = 7")
+def vec_get_by_id(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id = 7").select("vec_id", F.size("embedding").cast("bigint").alias("dim"), "label", F.lit(None).cast("double").alias("score"))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def vec_count(spark, d):
+    return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.col("n_chars").cast("float")).alias("embedding"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+
+
+def _digest(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.element_at("metadata", "source").alias("source"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS content_md5, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), md5('new'), source FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+def vec_insert_ignore_dup(spark, d):
+    rows = _documents(table(spark, d, "documents"))
+    number = F.col("id").cast("bigint")
+    return _digest(collection.inserted(rows.filter(number % 2 == 0), rows.filter(number % 3 == 0).withColumn("content", F.lit("new"))))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE coalesce(text, '') END) AS content_md5, CASE WHEN doc_id % 10 = 0 THEN 'moved' ELSE source END AS source FROM documents")
+def vec_update_partial(spark, d):
+    rows = _documents(table(spark, d, "documents"))
+    number = F.col("id").cast("bigint")
+    change = rows.filter(number % 5 == 0).select("id", F.lit("changed").alias("content"), "embedding", F.when(number % 10 == 0, F.create_map(F.lit("source"), F.lit("moved"))).alias("metadata"))
+    return _digest(collection.updated(rows, change))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS content_md5, source FROM documents WHERE doc_id % 4 <> 1")
+def vec_delete(spark, d):
+    rows = _documents(table(spark, d, "documents"))
+    gone = rows.filter(F.col("id").cast("bigint") % 4 == 1).select("id").unionByName(spark.createDataFrame([("no such id",)], "id string"))
+    return _digest(collection.deleted(rows, gone))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def vec_clear(spark, d):
+    return _documents(table(spark, d, "documents")).limit(0).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(count(*) FILTER (WHERE doc_id IS NULL OR n_chars % 7 = 0) AS BIGINT) AS invalid FROM documents")
+def vec_validate(spark, d):
+    rows = _documents(table(spark, d, "documents")).withColumn("embedding", F.when(F.element_at("embedding", 1).cast("bigint") % 7 != 0, F.col("embedding")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull() | F.col("embedding").isNull()).alias("invalid"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x * CAST(3 AS FLOAT) AS DOUBLE) * CAST(x * CAST(3 AS FLOAT) AS DOUBLE)))), 4) AS before, CAST(1.0 AS DOUBLE) AS after FROM embeddings")
+def l2_normalize(spark, d):
+    tripled = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x * F.lit(3.0).cast("float")).cast("float")).alias("v"))
+    return tripled.select("vec_id", F.round(vectors.norm(F.col("v")), 4).alias("before"), F.round(vectors.norm(vectors.l2_normalize(F.col("v"))), 4).alias("after"))
+
+
+@query("SELECT label AS text_id, CAST(count(*) AS BIGINT) AS dims, round(sum(x), 3) AS total FROM (SELECT label, pos, sum(v * m) / greatest(sum(m), 1e-9) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS m FROM embeddings) GROUP BY label, pos) GROUP BY label")
+def mean_pool(spark, d):
+    tokens = table(spark, d, "embeddings").select(F.col("label").alias("text_id"), F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("mask"), F.col("embedding").alias("vec"))
+    pooled = vectors.mean_pool(tokens)
+    return pooled.select("text_id", F.size("embedding").cast("bigint").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
+
+
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 32.0) AS BIGINT) AS batch, doc_id FROM documents")
+def encode_batches(spark, d):
+    return embedding.batch_numbers(table(spark, d, "documents").select("doc_id"), "doc_id").select("batch", "doc_id")
+
+
+@query()
+def encode_documents(spark, d):
+    found = embedding.encode(table(spark, d, "documents").select("doc_id", "text"), embedding.HashingEmbedder(), normalize=True)
+    return found.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
+
+
+# ---- pages ---------------------------------------------------------------------------------
+
+LINKS = "SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages"
+DOMAIN = "regexp_extract({}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+#: Links of pages are rooted; so are the forms that both sides resolve.
+RESOLVED = f"regexp_replace(regexp_replace(CASE WHEN starts_with(href, '/') THEN concat({DOMAIN.format('url')}, href) ELSE href END, '#.*$', ''), ';[^/?]*$', '')"
+WITH_NAV = PageOptions(exclude_selectors=("script", "style"))
+
+
+def _hrefs(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+TEXT_RULES = ((r"(?is)<(script|style|nav|footer|header)\b.*?</(script|style|nav|footer|header)>", ""), (r"(?s)<!--.*?-->", ""))
+
+
+@query(
+    "SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header)\\b.*?</(script|style|nav|footer|header)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' ')) AS text_md5 FROM pages"
+)
+def page_text(spark, d):
+    stripped = F.col("html")
+    for pattern, new in TEXT_RULES:
+        stripped = F.regexp_replace(stripped, pattern, new)
+    parts = F.filter(F.transform(F.split(F.regexp_replace(stripped, r"(?s)<[^>]*>", "\x01"), "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, d, "pages").select("page_id", F.md5(F.array_join(parts, " ").cast("binary")).alias("text_md5"))
+
+
+@query()
+def page_scrape(spark, d):
+    pages = table(spark, d, "pages").select("page_id", page_fields(F.col("html"), F.col("url")).alias("f"))
+    return pages.select("page_id", "f.title", F.md5(F.col("f.text").cast("binary")).alias("text_md5"), F.size("f.links").alias("n_links"), F.size("f.images").alias("n_images"))
+
+
+@query(f"SELECT DISTINCT page_id, {RESOLVED} AS link FROM ({LINKS}) WHERE NOT (starts_with(href, 'mailto:') OR starts_with(href, 'tel:') OR starts_with(href, 'javascript:') OR starts_with(href, '#'))")
+def page_links(spark, d):
+    return _hrefs(spark, d).filter(urls.leads_to_page(F.col("href"))).select("page_id", urls.rooted_link(F.col("url"), F.col("href")).alias("link")).distinct()
+
+
+@query(f"SELECT DISTINCT page_id, {RESOLVED} AS link FROM ({LINKS})")
+def page_links_tree(spark, d):
+    """The same links by the page tree, without pruning the menus that hold them."""
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", F.explode(page_fields(F.col("html"), F.col("url"), WITH_NAV)["links"]).alias("link"))
+
+
+@query(f"SELECT DISTINCT page_id, {RESOLVED} AS link FROM ({LINKS}) WHERE regexp_matches({RESOLVED}, 'the') OR regexp_matches({RESOLVED}, '/[A-Z]')")
+def links_allowlist(spark, d):
+    link = urls.rooted_link(F.col("url"), F.col("href"))
+    return _hrefs(spark, d).filter(urls.allowed(link, ["the", "/[A-Z]"])).select("page_id", link.alias("link")).distinct()
+
+
+@query(f"SELECT page_id, count(*) AS n FROM ({LINKS}) WHERE {DOMAIN.format(RESOLVED)} = {DOMAIN.format('url')} GROUP BY page_id")
+def links_same_domain(spark, d):
+    link = urls.rooted_link(F.col("url"), F.col("href"))
+    return _hrefs(spark, d).filter(urls.domain(link) == urls.domain(F.col("url"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+IMAGES = [".PNG?x=1", ".jpg#a", ".svg", "", ".webp"]
+
+
+@query(
+    "SELECT page_id, src FROM (SELECT page_id, concat(regexp_extract(url, '^([^?#]*)', 1), unnest(['.PNG?x=1', '.jpg#a', '.svg', '', '.webp'])) AS src FROM pages) WHERE lower(string_split(regexp_extract(src, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '.')[-1]) IN ('jpg', 'jpeg', 'png', 'webp', 'gif') UNION ALL SELECT page_id, 'data:image/png;base64,AAAA' FROM pages"
+)
+def page_images(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("u"))
+    made = F.array(*(F.concat("u", F.lit(x)) for x in IMAGES), F.lit("data:image/png;base64,AAAA"))
+    return pages.select("page_id", F.explode(made).alias("src")).filter(urls.image_kept(F.col("src")))
+
+
+@query(f"SELECT {DOMAIN.format('url')} AS domain, count(*) AS pages FROM pages GROUP BY 1")
+def domain_stats(spark, d):
+    return table(spark, d, "pages").groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+ROBOTS_SITES = "CASE WHEN page_id % 3 = 0 THEN '/en/' ELSE '/fr/' END"
+
+
+@query(
+    "WITH p AS (SELECT page_id, url, " + DOMAIN.format("url") + " AS d, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path FROM pages), r AS (SELECT d, min(page_id) AS m FROM p GROUP BY d HAVING count(*) > 1) "
+    "SELECT page_id, url FROM p LEFT JOIN r USING (d) WHERE r.d IS NULL OR NOT starts_with(path, '/en/') OR (m % 2 = 0 AND starts_with(path, '/en/1'))"
+)
+def robots_filter(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    sites = pages.groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.min("page_id").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lines = F.array(F.struct(F.lit("*").alias("agent"), F.lit("/en/").alias("path"), F.lit(False).alias("allow")), F.when(F.col("m") % 2 == 0, F.struct(F.lit("*").alias("agent"), F.lit("/en/1").alias("path"), F.lit(True).alias("allow"))))
+    rules = sites.select("domain", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l")).select("domain", "l.*")
+    return crawl.robots_allowed(pages, rules)
+
+
+def _graph(spark, d) -> tuple[DataFrame, int]:
+    pages = table(spark, d, "pages").select("page_id")
+    n = pages.count()
+    p = F.col("page_id")
+    return pages.select(p.alias("src"), F.explode(F.array((2 * p + 1) % n, (3 * p + 2) % n)).alias("dst")), n
+
+
+GRAPH = "edges AS (SELECT page_id AS src, (2 * page_id + 1) % (SELECT count(*) FROM pages) AS dst FROM pages UNION ALL SELECT page_id, (3 * page_id + 2) % (SELECT count(*) FROM pages) FROM pages)"
+
+
+@query(f"WITH RECURSIVE {GRAPH}, walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 8) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node")
+def bfs_depth(spark, d):
+    edges, _ = _graph(spark, d)
+    return crawl.bfs_depths(edges, spark.createDataFrame([(0,)], "node bigint"), max_depth=8)
+
+
+def _site(spark, d) -> DataFrame:
+    """Pages whose links form the scale graph, on one site."""
+    edges, _ = _graph(spark, d)
+    link = lambda c: F.concat(F.lit("https://site.example/"), F.col(c).cast("string"))
+    anchors = edges.groupBy("src").agg(F.concat_ws("", F.collect_list(F.concat(F.lit('<a href="/'), F.col("dst").cast("string"), F.lit('">x</a>')))).alias("a"))
+    return anchors.select(link("src").alias("url"), F.concat(F.lit("<title>t</title>"), "a").alias("html"))
+
+
+def _crawled(spark, d) -> tuple[DataFrame, DataFrame]:
+    options = crawl.CrawlOptions(max_depth=None, max_pages=25)
+    return crawl.Crawl(spark, crawl.corpus_transport(_site(spark, d)), options).search("https://site.example/0")
+
+
+@query()
+def bfs_budget(spark, d):
+    return _crawled(spark, d)[0].select("url", "depth", "visit_ord")
+
+
+@query()
+def bfs_frontier_left(spark, d):
+    return _crawled(spark, d)[1].select("url", "depth")
+
+
+@query("SELECT url, min(page_id) AS ord FROM pages GROUP BY url ORDER BY ord, url LIMIT 100")
+def url_budget(spark, d):
+    return table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("ord")).orderBy("ord", "url").limit(100)
+
+
+@query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap_us FROM events")
+def politeness_gap(spark, d):
+    return crawl.politeness_gaps(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "gap_us")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def image_first_seen(spark, d):
+    # first_seen ranks by window; for items with very many rows, the smallest struct combines before the shuffle
+    first = table(spark, d, "events").groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return first.select("event_type", "f.event_id")
+
+
+@query(f"SELECT page_id, link FROM (SELECT page_id, {RESOLVED} AS link FROM ({LINKS}) WHERE page_id % 2 = 0 UNION SELECT page_id, {RESOLVED} FROM ({LINKS}) WHERE page_id % 3 = 0)")
+def link_zone_union(spark, d):
+    links = _hrefs(spark, d).select("page_id", urls.rooted_link(F.col("url"), F.col("href")).alias("link"))
+    return links.filter("page_id % 2 = 0").unionByName(links.filter("page_id % 3 = 0")).distinct()
+
+
+def _rows_of_pages(spark, d) -> DataFrame:
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, d, "pages").select("url", F.when(F.col("page_id") % 4 != 0, F.trim(title)).alias("title"), F.col("html").alias("text"), F.lit(200).alias("status_code"))
+
+
+TITLE = "CASE WHEN page_id % 4 <> 0 THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE '' END AS title"
+
+
+@query(f"SELECT url, {TITLE}, md5(coalesce(html, '')) AS text_md5 FROM pages")
+def csv_text_view(spark, d):
+    return sinks.text_view(_rows_of_pages(spark, d)).select("url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT url, {TITLE}, CAST(200 AS INTEGER) AS status_code FROM pages")
+def csv_pages_view(spark, d):
+    return sinks.pages_view(_rows_of_pages(spark, d))
+
+
+@query()
+def html_to_md(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(markdown(F.col("html")).cast("binary")).alias("markdown_md5"))
+
+
+# ---- streamed responses --------------------------------------------------------------------
+
+
+def _lines(spark, d) -> DataFrame:
+    """Each conversation's assistant turns as a stream of one dialect's chunks."""
+    turns = table(spark, d, "conversations").filter("role = 'assistant'")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    value = F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"), (F.col("turn") == last).alias("done"), (F.col("turn") * 1_000_000_000).alias("eval_duration"), F.length("text").cast("bigint").alias("eval_count"), (F.col("turn") * 2_500_000_000).alias("total_duration")))
+    return turns.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), value.alias("value"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    return responses.parsed(_lines(spark, d), "generate")
+
+
+@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5, count(*) AS chunks FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def stream_full_text(spark, d):
+    return responses.fold(_chunks(spark, d), "generate").select(F.col("stream_id").alias("conv_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "chunks")
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS text_md5 FROM conversations GROUP BY conv_id")
+def stream_last_meta(spark, d):
+    last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("m"))
+    return last.select("conv_id", "m.turn", "m.role", F.md5(F.col("m.text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS n FROM conversations")
+def stream_running_text_len(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return responses.running_text(turns, "text", "conv_id", "turn").select("conv_id", "turn", F.length("full_text").cast("bigint").alias("n"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS e FROM conversations) WHERE e IS NULL OR turn <= e")
+def stream_early_stop(spark, d):
+    return responses.until_done(table(spark, d, "conversations"), F.col("role") == "assistant", "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+STATS = "SELECT conv_id AS stream_id, max(turn) AS t, arg_max(length(text), turn) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id"
+
+
+@query(f"SELECT stream_id, floor(t * 2500000000 / 1e9 * 100 + 0.5) / 100 AS total_s, floor(t * 1000000000 / 1e9 * 100 + 0.5) / 100 AS eval_s, CAST(n AS BIGINT) AS tokens, floor((CASE WHEN t > 0 THEN n / (t * 1000000000 / 1e9) ELSE 0.0 END) * 100 + 0.5) / 100 AS tokens_per_s FROM ({STATS})")
+def llm_stats(spark, d):
+    return responses.generate_stats(responses.fold(_chunks(spark, d), "generate"))
+
+
+@query("SELECT user_id, CAST(sum(coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS k, CAST(sum(CASE WHEN json_extract_string(props, '$.missing') IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM events GROUP BY user_id")
+def usage_stats(spark, d):
+    number = F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0))
+    return table(spark, d, "events").groupBy("user_id").agg(F.sum(number).alias("k"), F.sum(F.when(F.get_json_object("props", "$.missing").isNull(), 0).otherwise(1)).alias("missing"))
+
+
+def _downloads(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    completed = F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("bigint"))
+    chunk = F.struct(F.col("event_type").alias("status"), F.lit("sha").alias("digest"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value") * 2).cast("bigint") + 1).alias("total"), completed.alias("completed"))
+    return e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), chunk.alias("chunk"))
+
+
+CHUNKS = "SELECT user_id AS stream_id, event_id AS seq, event_type AS status, CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 2) AS BIGINT) + 1 END AS total, CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS BIGINT) END AS completed FROM events"
+
+
+@query(f"SELECT stream_id, seq, CAST(coalesce(max(total) OVER w, 0) AS BIGINT) AS total, coalesce(last_value(completed IGNORE NULLS) OVER w, 0) AS completed FROM ({CHUNKS}) WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def download_progress(spark, d):
+    return responses.download_progress(_downloads(spark, d)).select("stream_id", "seq", "total", "completed")
+
+
+@query(
+    f"SELECT stream_id, arg_max(status, seq) AS status, coalesce(max(total), 0) AS total, coalesce(arg_max(completed, seq) FILTER (WHERE completed IS NOT NULL), 0) AS completed, count(completed) AS updates FROM ({CHUNKS}) GROUP BY stream_id"
+)
+def download_stats(spark, d):
+    return responses.download_stats(_downloads(spark, d)).select("stream_id", "status", "total", "completed", "updates")
+
+
+@query("SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 1 THEN '' ELSE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) END) AS text_md5 FROM conversations")
+def json_response_text(spark, d):
+    turns = table(spark, d, "conversations")
+    whole = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message")))
+    body = F.when(F.col("turn") % 3 == 1, F.concat(whole, F.lit("\n"), whole)).otherwise(whole)
+    return turns.select("conv_id", "turn", F.md5(responses.response_text(body).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT conv_id, string_agg(concat(role, ':', md5(text)), ',' ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+def chat_history(spark, d):
+    listed = provider.chat_history(table(spark, d, "conversations"))
+    return listed.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.md5(m["content"].cast("binary")))), ",").alias("history"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def stream_live_fold(spark, d):
+    import uuid
+
+    from corpuskit.storage import shared_folder
+
+    where = f"{shared_folder(spark)}/corpuskit/live-{uuid.uuid4().hex}"
+    lines = _lines(spark, d)
+    lines.write.parquet(f"{where}/in")
+    name = f"live_{uuid.uuid4().hex}"
+    running = responses.live_fold(spark.readStream.schema(lines.schema).parquet(f"{where}/in"), "generate", f"{where}/state", name)
+    running.awaitTermination()
+    return spark.table(name).select(F.col("stream_id").alias("conv_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'user'")
+def echo_answers(spark, d):
+    asked = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return provider.generate(asked, provider.EchoProvider()).drop("prompt")
+
+
+# ---- names and stamps ----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, concat(CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN '.tar' ELSE '' END, '.md') AS file_name FROM documents")
+def md_filename(spark, d):
+    ending = F.when(F.col("doc_id") % 2 == 0, ".tar.gz").when(F.col("doc_id") % 3 == 0, "").otherwise(".docx")
+    return table(spark, d, "documents").select("doc_id", scalars.markdown_name(F.concat(F.lit("/a.b/c/"), F.col("doc_id").cast("string"), ending)).alias("file_name"))
+
+
+@query("SELECT event_id, substr(md5(strftime(ts, '%Y%m%d_%H%M%S')), 1, 8) AS stamp FROM events")
+def file_stamp(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.file_stamp(F.col("ts")).alias("stamp"))
+
+
+@query("SELECT event_id, concat(repeat('█', CAST(least(40, floor((event_id % 101) / 100.0 * 40)) AS INTEGER)), repeat('░', CAST(40 - least(40, floor((event_id % 101) / 100.0 * 40)) AS INTEGER))) AS bar FROM events")
+def progress_bar(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.progress_bar((F.col("event_id") % 101).cast("double")).alias("bar"))
