@@ -139,19 +139,19 @@ class Collection:
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _current(self) -> str | None:
-        pointer = self._path(f"{self.root}/_CURRENT")
+        pointer = self._path(f"{self.root}/CURRENT")
         if not self._fs().exists(pointer):
             return None
-        return self.spark.read.text(f"{self.root}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
 
     def _replace(self, rows: DataFrame) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
         rows.select(*schemas.DOCUMENT.names).write.parquet(f"{self.root}/{name}")
-        stream = self._fs().create(self._path(f"{self.root}/_CURRENT.new"), True)
+        stream = self._fs().create(self._path(f"{self.root}/CURRENT.new"), True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        self._fs().delete(self._path(f"{self.root}/_CURRENT"), False)
-        self._fs().rename(self._path(f"{self.root}/_CURRENT.new"), self._path(f"{self.root}/_CURRENT"))
+        self._fs().delete(self._path(f"{self.root}/CURRENT"), False)
+        self._fs().rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"))
 
     def rows(self) -> DataFrame:
         at = self._current()

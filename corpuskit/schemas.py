@@ -2,12 +2,11 @@
 
 from pyspark.sql import types as T
 
-schema = T._parse_datatype_string
-
-PAGE = schema("url string, title string, text string, images array<string>, links array<string>, depth int, status_code int")
-DOCUMENT = schema("id string, content string, embedding array<float>, metadata map<string,string>")
-MATCH = schema("id string, content string, metadata map<string,string>, score double")
-MESSAGE = schema("role string, content string")
+TEXT, TEXTS, META = T.StringType(), T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
+PAGE = T.StructType().add("url", TEXT).add("title", TEXT).add("text", TEXT).add("images", TEXTS).add("links", TEXTS).add("depth", T.IntegerType()).add("status_code", T.IntegerType())
+DOCUMENT = T.StructType().add("id", TEXT).add("content", TEXT).add("embedding", T.ArrayType(T.FloatType())).add("metadata", META)
+MATCH = T.StructType().add("id", TEXT).add("content", TEXT).add("metadata", META).add("score", T.DoubleType())
+MESSAGE = T.StructType().add("role", TEXT).add("content", TEXT)
 #: One chunk of each dialect of streamed responses.
 GENERATE_CHUNK = "response string, message struct<role: string, content: string>, done boolean, total_duration bigint, load_duration bigint, prompt_eval_count bigint, prompt_eval_duration bigint, eval_count bigint, eval_duration bigint, context array<bigint>, done_reason string, model string, created_at string"
 CHOICES_CHUNK = "choices array<struct<delta: struct<content: string>, finish_reason: string>>, model string, usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>"
