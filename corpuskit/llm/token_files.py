@@ -11,8 +11,11 @@ Metadata queries read no ids.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -20,49 +23,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks of text that a worker remembers; beyond it the memory starts anew, results stay the same.
-CACHE = 400_000
+from corpuskit.llm.bpe import byte_alphabet
 
+#: Words of one generation of a worker's memory; two are kept, and results do not depend on them.
+CACHE = 300_000
+#: Marks that end a word of letters and never join a letter.
+MARKS = ".,!?;:"
+#: The last Latin letter that is one character, whose lower case is one as well.
+LATIN = "\u024f"
 
-class Chunks(dict):
-    """Ids of chunks between ASCII white space, by the tokenizers library, packed as uint32.
+
+class Memory(dict):
+    """A dict of two generations: when one is full the other is dropped, and what is asked for again moves on."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self[key] = self.older[key]
+        return found
+
+    def unknown(self, keys: set) -> set:
+        """The keys that are in neither generation. The others are moved to the young one, and all of them will fit."""
+        missing = keys.difference(self)
+        back = [k for k in missing if k in self.older]
+        self.update((k, self.older[k]) for k in back)
+        missing.difference_update(back)
+        if len(self) + len(missing) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        return missing
+
+
+class Words:
+    """Ids of words between ASCII white space, by the tokenizers library, packed as uint32.
 
     The vocabularies this serves drop white space and never join across it, so a text's ids are
-    those of its chunks one after the other.
+    those of its words one after the other.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(chunks)
-        for chunk, found in zip(new, self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
+        self.memory, self.spelt = Memory(), {}
+        #: Bytes as the characters that the vocabulary writes for them.
+        self.written = {b: c for c, b in byte_alphabet().items()}
+        probe = ["the", "Hotel,", "\u00dcber", "na\u00efve.", "stra\u00dfe!?", "word;", "i"]
+        self.simple = [self._letters(w) for w in probe] == [np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in probe]
+
+    def _singly(self, words: list[bytes]) -> None:
+        for word, found in zip(words, self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.memory[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _model(self, spelt: str) -> bytes:
+        """What the library's model makes of a word, in lower case; remembered, as words differ most in case and marks."""
+        found = self.spelt.get(spelt)
+        if found is None:
+            if len(self.spelt) >= CACHE:
+                self.spelt.clear()
+            ids = [t.id for t in self.library.model.tokenize(spelt if spelt.isascii() else spelt.encode().decode("latin-1").translate(self.written))]
+            found = self.spelt[spelt] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of Latin letters with marks behind by the library's model itself, without its steps
+        before that, which leave such a word as it is but for its case; None for any other word."""
+        letters = word.rstrip(MARKS)
+        low = letters.lower()
+        if not low.isalpha() or not low.isascii() and (not letters.isalpha() or max(low) > LATIN):
+            return None
+        return self._model(low) if len(letters) == len(word) else self._model(low) + self._model(word[len(letters) :])
+
+    def learn(self, words: set[bytes]) -> None:
+        other = []
+        for word in self.memory.unknown(words):
+            ids = self._letters(word.decode()) if self.simple else None
+            if ids is None:
+                other.append(word)
+            else:
+                self.memory[word] = ids
+        self._singly(other)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        self.learn({c for chunks in split for c in chunks})
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.memory.get, flat))
+        if None in found:  # each word is looked up once; those not known are learnt and filled in
+            gaps = list(compress(range(len(flat)), map(is_, found, repeat(None))))
+            self.learn({flat[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.memory[flat[i]]
+        out, start = [], 0
+        for words in split:
+            end = start + len(words)
+            out.append(b"".join(found[start:end]))
+            start = end
+        return out
 
 
-_chunks: dict[str, Chunks] = {}
+_words: dict[str, Words] = {}
 
 
-def chunks(path: str) -> Chunks:
-    if path not in _chunks:
-        _chunks[path] = Chunks(path)
-    return _chunks[path]
+def words_of(path: str) -> Words:
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Runs of texts of about a megabyte; a longer text stands alone."""
+def groups(texts: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
+    """Runs of texts of about two megabytes; a longer text stands alone."""
     held, size = [], 0
     for t in texts:
         if held and size + len(t) > most:
@@ -89,7 +161,7 @@ def write_token_files(df: DataFrame, where: str, tokenizer: str, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, start = chunks(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, start = words_of(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
@@ -100,14 +172,15 @@ def write_token_files(df: DataFrame, where: str, tokenizer: str, key: str = "doc
                 yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(np.full(len(packed), part), pa.int32()), pa.array(start + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), ids], names=schema.names)
                 start += int(ends[-1])
 
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "zstd"}
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "snappy"}
     writer = rows.select("key", "raw").mapInArrow(run, schema).write
     for name, value in options.items():
         writer = writer.option(name, str(value))
     writer.parquet(where)
 
 
-SCHEMA = "part int, local_start bigint, n_tokens bigint, ids array<int>"
+#: Offsets of up to so many files (16 bytes each) are broadcast; of more, joined by a shuffle.
+BROADCAST_FILES = 1_000_000
 
 
 def read_token_files(spark: SparkSession, where: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -127,6 +200,8 @@ def read_token_files(spark: SparkSession, where: str, low: int | None = None, hi
     if high is not None:
         files = files.filter(F.col("key") <= high)
     starts = spark.createDataFrame(offsets, "part int, part_start bigint")
+    if len(offsets) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return files.join(starts, "part").select("key", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
