@@ -248,7 +248,16 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Language, DataFrame]:
     """A language model of docs (raw: the UTF-8 of a text, null: empty), and the table of all words' counts."""
     vocabulary = written(count_words(docs), "vocabulary")
     totals = vocabulary.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("word") == END, F.col("c")))).first()
-    top = [(bytes(r[0]), r[1]) for r in vocabulary.filter(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(LOOKUP).collect()]
+    # the most frequent words by a threshold on their counts, so that no task sends words beyond it
+    words = vocabulary.filter(F.octet_length("word") > 0).withColumn("step", F.floor(F.log2("c") * 64))
+    steps, room, least = sorted(map(tuple, words.groupBy("step").count().collect()), reverse=True), LOOKUP, None
+    for step, n in steps:
+        room -= n
+        if room < 0:
+            break
+        least = step
+    top = [] if least is None else [(bytes(r[0]), r[1]) for r in words.filter(F.col("step") >= least).select("word", "c").collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     head = [w for w, _ in top[:HEAD]]
     shared = docs.sparkSession.sparkContext.broadcast(set(head) | {END})
 
