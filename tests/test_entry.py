@@ -36,8 +36,12 @@ def test_query(spark, db, name):
 
 
 def plain_rows(df: pd.DataFrame) -> list:
-    names = sorted(df.columns)
-    return [tuple(None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, float) else int(v) if hasattr(v, "__index__") else v for v in row) for row in df[names].astype(object).itertuples(index=False)]
+    def value(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        return v if isinstance(v, str) else float(v)
+
+    return [tuple(map(value, row)) for row in df[sorted(df.columns)].astype(object).itertuples(index=False)]
 
 
 def test_entry_and_names():
