@@ -69,9 +69,10 @@ def room_to_miss(percent: int) -> "F.Column":
     return n - F.expr(f"(n * {percent} + 99) div 100")
 
 
-def share(n: int, percent: int) -> float:
-    """The share of the hash range in which a set of n is tested: it falls with n."""
-    return min(1.0, 1.7 * (1 - percent / 100) + 12 / n) if n else 1.0
+def share(n: int, width: int, percent: int) -> float:
+    """The share of the hash range in which a set of n is tested: it falls with n. It has to hold more
+    than m(n) shingles that few sets have, and fewer of the short ones are rare; any share is right."""
+    return min(1.0, (1.7 if width < 4 else 1.3) * (1 - percent / 100) + 12 / n) if n else 1.0
 
 
 def below(hashes: np.ndarray, part: float) -> int:
@@ -90,7 +91,7 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
 def sets_of(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     """id, n, class of each (id, text); and either the hashes that the first order counts, of which
     the first `tested` are the set's own test, or the whole set with its prefixes in orders 3 and 4."""
-    schema = "id bigint, n bigint, class string" + (", hashes array<bigint>, third array<int>, fourth array<int>" if whole else ", tested bigint, hashes array<bigint>")
+    schema = "id bigint, n bigint, class string" + (", hashes array<bigint>, third array<int>, fourth array<int>" if whole else ", short bigint, tested bigint, hashes array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,15 +99,17 @@ def sets_of(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 piece = batch.slice(low, 500)
                 sets = [shingles(t or b"", width) for t in piece.column("raw").to_pylist()]
                 n = [len(s) for s in sets]
-                out = [piece.column("id"), pa.array(n, pa.int64()), pa.array([hashlib.md5(s.tobytes()).hexdigest() for s in sets], pa.string())]
+                kinds = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+                out = [piece.column("id"), pa.array(n, pa.int64()), pa.array(kinds, pa.string())]
                 if whole:
                     first = [may_miss(k, percent) + 1 for k in n]
                     orders = [[np.sort(scrambled(s, key))[:f].astype(np.uint32).view(np.int32) for s, f in zip(sets, first, strict=True)] for key in (3, 4)]
                     out += [_lists(list(map(signed, sets)), pa.int64()), *(_lists(o, pa.int32()) for o in orders)]
                 else:
-                    out.append(pa.array([below(s, share(k, percent)) for s, k in zip(sets, n, strict=True)], pa.int64()))
+                    out.append(pa.array([int(c[:15], 16) for c in kinds], pa.int64()))
+                    out.append(pa.array([below(s, share(k, width, percent)) for s, k in zip(sets, n, strict=True)], pa.int64()))
                     # a partner may be smaller, and then its test reaches farther
-                    out.append(_lists([signed(s[: below(s, share(percent * k // 100, percent))]) for s, k in zip(sets, n, strict=True)], pa.int64()))
+                    out.append(_lists([signed(s[: below(s, share(percent * k // 100, width, percent))]) for s, k in zip(sets, n, strict=True)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
     return df.mapInArrow(run, schema)
@@ -136,13 +139,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("raw"))
     first = written(sets_of(docs, width, percent, whole=False), "shingles")
     some = first.filter("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "class").agg(F.min("id").alias("id"))
-
-    # order 1: hashes of each class below the bounds, and how many of them only it has
-    hashed = some.groupBy("n", "class").agg(F.min(F.struct("id", "tested", "hashes")).alias("r")).select("class", F.posexplode("r.hashes").alias("at", "h"), F.col("r.tested").alias("tested"))
-    alone = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("class"), F.min(F.col("at") < F.col("tested")).alias("test")).filter("sets = 1 AND test")
-    alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    left = classes.join(alone, "class", "left").filter(F.coalesce("alone", F.lit(0)) <= room_to_miss(percent))
+    classes = some.groupBy("n", "class", "short").agg(F.min("id").alias("id"))
+
+    # order 1: hashes below the bounds that only one class has, and how many of them it has. Copies
+    # have one class and so count once. 60 bits of a class name it here; where two classes share them,
+    # both stay.
+    hashed = some.select("short", F.posexplode("hashes").alias("at", "h"), "tested").select("short", "h", (F.col("at") < F.col("tested")).alias("test"))
+    alone = hashed.groupBy("h").agg(F.min("short").alias("short"), F.max("short").alias("other"), F.min("test").alias("test")).filter("short = other AND test")
+    alone = alone.groupBy("short").agg(F.count(F.lit(1)).alias("alone"))
+    twins = classes.groupBy("short").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    left = classes.join(alone, "short", "left").join(twins, "short", "left")
+    left = left.filter((F.coalesce("alone", F.lit(0)) <= room_to_miss(percent)) | F.col("classes").isNotNull())
     left = written(left.select("id", "class"), "left")
     ids = left.select("id").distinct()
     ids = F.broadcast(ids) if left.count() <= BROADCAST_IDS else ids
@@ -181,7 +188,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df whose key is the smallest of its component; of rows that repeat such a key, all with the same text are kept once."""
+    """The rows of df whose key is the smallest of its component, and those with a null key; rows that repeat a key stay or go together. Up to BROADCAST_IDS keys that go are sent to the scan, beyond it both sides shuffle."""
     found = near_duplicates(df, key, text, width, percent)
-    keep = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
-    return df.join(keep, df[key].eqNullSafe(keep["__key"]), "left_semi").select(*df.columns)
+    gone = written(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(gone, df[key] == gone["__key"], "left_anti").select(*df.columns)
