@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 #: Fixed value: the pattern that byte-level tokenizers split a text with before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
-CACHE = 400_000
+CACHE = 150_000
 NEVER = 1 << 60
 
 

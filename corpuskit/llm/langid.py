@@ -23,7 +23,7 @@ BINS, ORDERS = 1 << 16, (1, 2, 3, 4)
 #: About so many labelled documents of each language train the classifiers (all, if fewer): the bound on the sample.
 PER_LANGUAGE = 2_000
 #: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
-CACHE = 400_000
+CACHE = 150_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -199,10 +199,10 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", ambiguous_b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         scorer = Scorer(own.weights) if own else None
-        for batch in batches:
+        for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
             texts = [t if t and LETTER.search(t) else "" for t in batch.column(at).to_pylist()]
             lang, score, ambiguous = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            if own and texts:
+            if own:
                 p = own.probabilities(np.concatenate([scorer.sums(g) for g in batches_of(texts)]))
                 best, ranked = p.argmax(1), np.sort(p, axis=1)
                 gap = ranked[:, -1] - (ranked[:, -2] if p.shape[1] > 1 else 0)
