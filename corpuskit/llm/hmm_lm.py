@@ -6,9 +6,10 @@ share of the class's count, unknown words together a share that the words seen o
 So P(word | state) = P(class | state) * P(word | class), which sums to one over the known words and an
 unknown one for each class; the end of a text is a class as well.
 
-Baum-Welch: a bounded sample of documents gives the states a start; then each round runs the scaled
-forward and backward recursions over every training document where it lies, and the expected counts of
-transitions and emissions are summed across partitions. A text's score is its exact likelihood by the
+Baum-Welch: the states start from all training documents, parted by the words that occur together in
+them; then each round runs the scaled forward and backward recursions over every training document,
+kept as classes of its words, and the expected counts of transitions and emissions are summed across
+partitions. A text's score is its exact likelihood by the
 forward recursion. Texts are batched by length, so one step of the recursion serves many texts.
 
 Counts of words cover all training documents. Only the LOOKUP most frequent are broadcast; a text's
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 from corpuskit.llm._shared import written
 
 STATES, HEAD, TAIL, LOOKUP = 6, 20_000, 4096, 200_000
-#: Rounds over all training documents; of the start's sample; about so many documents in it.
-ROUNDS, START_ROUNDS, SAMPLE = 2, 12, 400
+#: Rounds over all training documents.
+ROUNDS = 14
+#: Features of a text for the start: of the head's words and of the tail's classes.
+WORDS, TAILS = 192, 64
+#: Words of the tail that a worker remembers; steps of a recursion from one scaling to the next, at most.
+KEPT, STEPS = 150_000, 8
 #: Words that a task counts before it passes its counts on; tokens whose recursions run together.
 DISTINCT, TOKENS = 250_000, 300_000
 #: Weight, in tokens, of the corpus-wide class frequencies in a state's.
@@ -46,7 +51,10 @@ class Classes(dict):
     """Word to class: the head's own, else by its last letters."""
 
     def __missing__(self, word: bytes) -> int:
-        return self.first + tail_class(word)
+        found = self.first + tail_class(word)
+        if len(self) < self.first + KEPT:
+            self[word] = found
+        return found
 
     def __init__(self, head: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(head))
@@ -54,7 +62,7 @@ class Classes(dict):
         self.first, self.end = len(head), len(head) + TAIL
 
     def __reduce__(self):
-        return Classes, (sorted(self, key=self.get),)
+        return Classes, (sorted((w for w, k in self.items() if k < self.first), key=self.get),)
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words) + 1, np.int32)
@@ -76,22 +84,23 @@ class Batch:
         lengths = lengths[self.order]
         self.active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         self.start = np.concatenate([[0], np.cumsum(self.active)])
+        #: Steps at whose end the probabilities are scaled: after a few, and where a sequence ends.
+        self.scaled = ((np.arange(len(self.active)) % STEPS == STEPS - 1) | (np.diff(self.active, append=0) < 0)).tolist()
         self.seen = np.empty(self.start[-1], np.int32)
         for i, at in enumerate(self.order):
             self.seen[self.start[: lengths[i]] + i] = sequences[at]
         self.row = np.concatenate([np.arange(n) for n in self.active]) if len(self.active) < 200 else np.arange(self.start[-1]) - np.repeat(self.start[:-1], self.active)
 
     def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """The scaled states' probabilities at each place, and the scales."""
-        alpha = model.emit.T[self.seen]
-        scale = np.empty(len(alpha))
-        last = None
-        for t in range(len(self.active)):
-            here = slice(self.start[t], self.start[t + 1])
-            a = alpha[here]
-            a *= model.first if last is None else last[: self.active[t]] @ model.move
-            s = scale[here] = a.sum(1)
-            a /= s[:, None]
+        """The scaled states' probabilities (states by places), and the scales, 1 where there is none."""
+        alpha = model.emit.take(self.seen, 1)
+        scale = np.ones(len(self.seen))
+        move, start, last = np.ascontiguousarray(model.move.T), self.start.tolist(), None
+        for low, high, scaled in zip(start, start[1:], self.scaled, strict=False):
+            a = alpha[:, low:high]
+            a *= model.first[:, None] if last is None else move @ last[:, : high - low]
+            if scaled:
+                a /= a.sum(0, out=scale[low:high])
             last = a
         return alpha, scale
 
@@ -104,17 +113,20 @@ class Batch:
 
     def expect(self, model: Model, counts: Counts) -> None:
         alpha, scale = self.forward(model)
-        emitted = model.emit.T[self.seen]
-        beta = np.ones_like(alpha)
-        for t in range(len(self.active) - 2, -1, -1):
-            n, here, after = self.active[t + 1], self.start[t], slice(self.start[t + 1], self.start[t + 2])
-            ahead = emitted[after] * beta[after] / scale[after][:, None]
-            beta[here : here + n] = ahead @ model.move.T
-            counts.move += model.move * (alpha[here : here + n].T @ ahead)
-        gamma = alpha * beta
-        counts.first += gamma[: self.active[0]].sum(0)
-        for k in range(gamma.shape[1]):
-            counts.emit[k] += np.bincount(self.seen, gamma[:, k], counts.emit.shape[1])
+        ahead = model.emit.take(self.seen, 1)
+        ahead /= scale
+        beta, start = np.ones_like(alpha), self.start.tolist()
+        for here, low, high in zip(start[-3::-1], start[-2::-1], start[:0:-1], strict=False):
+            a = ahead[:, low:high]
+            a *= beta[:, low:high]
+            beta[:, here : here + high - low] = model.move @ a
+        if len(self.active) > 1:
+            before = np.arange(start[1], start[-1]) - np.repeat(self.active[:-1], self.active[1:])
+            counts.move += model.move * (alpha.take(before, 1) @ ahead[:, start[1] :].T)
+        alpha *= beta
+        counts.first += alpha[:, : self.active[0]].sum(1)
+        for k, gamma in enumerate(alpha):
+            counts.emit[k] += np.bincount(self.seen, gamma, counts.emit.shape[1])
 
 
 class Model:
@@ -184,64 +196,109 @@ class Language:
         self.model: Model | None = None
 
 
-def _expected(docs: DataFrame, language: Language) -> Counts:
-    """The expected counts over all documents; from each partition, a row for each class it has."""
-    shared = docs.sparkSession.sparkContext.broadcast(language)
-    states, n = STATES, len(language.overall)
-    columns = [f"s{k}" for k in range(states)]
+def _classes(docs: DataFrame, language: Language) -> DataFrame:
+    """classes: of each document, those of its words and its end, as bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(language.classes)
+    kind = np.min_scalar_type(language.classes.end)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low in range(0, part.num_rows, 1000):
+                found = [shared.value.sequence(words_of(raw.as_py())).astype(kind).tobytes() for raw in part.column("raw")[low : low + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["classes"])
+
+    return written(docs.select("raw").mapInArrow(run, "classes binary"), "classes")
+
+
+def _summed(texts: DataFrame, language: Language, given: object, size: int, count: Callable[[object, list[np.ndarray], Counts], None]) -> Counts:
+    """What count adds up over all texts, in counts of so many states; from each partition, a row for each class it has."""
+    shared = texts.sparkSession.sparkContext.broadcast(given)
+    n, columns, kind = len(language.overall), [f"s{k}" for k in range(size)], np.min_scalar_type(language.classes.end)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts = Counts(states, n)
+        counts = Counts(size, n)
         for part in parts:
-            for _, batch in batches([own.classes.sequence(words_of(raw.as_py())) for raw in part.column("raw")]):
-                batch.expect(own.model, counts)
-        some = np.nonzero(counts.emit.sum(0))[0]
+            count(shared.value, [np.frombuffer(raw.as_py(), kind) for raw in part.column("classes")], counts)
+        some = np.nonzero(counts.emit.any(0))[0]
         rows = np.concatenate([counts.emit[:, some].T, counts.move, counts.first[None]])
-        place = np.concatenate([some, n + np.arange(states + 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *(pa.array(rows[:, k]) for k in range(states))], names=["place", *columns])
+        place = np.concatenate([some, n + np.arange(size + 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *(pa.array(rows[:, k]) for k in range(size))], names=["place", *columns])
 
-    got = docs.select("raw").mapInArrow(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
-    counts = Counts(states, n)
+    got = texts.mapInArrow(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
+    counts = Counts(size, n)
     for row in got.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).toLocalIterator():
         values = np.array(row[1:])
         if row["place"] < n:
             counts.emit[:, row["place"]] = values
-        elif row["place"] < n + states:
+        elif row["place"] < n + size:
             counts.move[row["place"] - n] = values
         else:
             counts.first = values
+    shared.destroy()
     return counts
 
 
-def _start(docs: DataFrame, language: Language, documents: int) -> Model:
-    """States from a sample: documents parted by the nearest of a few unlike ones, then rounds of Baum-Welch."""
-    share = min(1.0, SAMPLE / max(1, documents))
-    chosen = docs.filter((F.pmod(F.xxhash64("raw"), F.lit(1 << 20)) < share * (1 << 20)) & (F.octet_length("raw") < 6000)).select("raw").orderBy("raw").limit(4 * SAMPLE).collect()
-    sequences = [language.classes.sequence(words_of(r[0])) for r in chosen]
-    n = len(language.overall)
-    counts = Counts(STATES, n)
-    rnd = np.random.default_rng(5)
-    if sequences:
-        tops = np.array([np.bincount(np.where(s < language.classes.first, s % 512, 512 + s % 512), minlength=1024) for s in sequences], float)
-        tops /= np.linalg.norm(tops, axis=1, keepdims=True)
-        seeds = [int(np.argmax([len(s) for s in sequences]))]
+def _expected(texts: DataFrame, language: Language) -> Counts:
+    """The expected counts over all texts."""
+
+    def count(model: Model, sequences: list[np.ndarray], counts: Counts) -> None:
+        for _, batch in batches(sequences):
+            batch.expect(model, counts)
+
+    return _summed(texts, language, language.model, STATES, count)
+
+
+def features(sequences: list[np.ndarray], first: int) -> np.ndarray:
+    """Of each text, how often it has words of each feature, scaled to length one."""
+    out = np.zeros((len(sequences), WORDS + TAILS))
+    for i, s in enumerate(sequences):
+        words = s[:-1].astype(np.int64)
+        out[i] = np.bincount(np.where(words < first, words % WORDS, WORDS + words % TAILS), minlength=WORDS + TAILS)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _together(texts: DataFrame, first: int, kind: np.dtype) -> np.ndarray:
+    """How much each two features share texts, over all texts."""
+    size = WORDS + TAILS
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((size, size))
+        for part in parts:
+            for low in range(0, part.num_rows, 1000):
+                x = features([np.frombuffer(raw.as_py(), kind) for raw in part.column("classes")[low : low + 1000]], first)
+                sums += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(sums.ravel())], names=["place", "x"])
+
+    out = np.zeros(size * size)
+    for place, x in texts.mapInArrow(run, "place bigint, x double").groupBy("place").agg(F.sum("x")).toLocalIterator():
+        out[place] = x
+    return out.reshape(size, size)
+
+
+def _start(texts: DataFrame, language: Language) -> Model:
+    """States from all texts: those nearest to each of a few features that share the fewest texts."""
+    first = language.classes.first
+    near = _together(texts, first, np.min_scalar_type(language.classes.end))
+    mass = near.sum(1)
+    common = np.nonzero(mass >= np.median(mass[mass > 0]))[0] if mass.any() else []
+    counts = Counts(STATES, len(language.overall))
+    if len(common):
+        near = near[common] / np.linalg.norm(near[common], axis=1, keepdims=True)
+        seeds = [int(mass[common].argmax())]
         while len(seeds) < STATES:
-            seeds.append(int((tops @ tops[seeds].T).max(1).argmin()))
-        of = (tops @ tops[seeds].T).argmax(1)
-        for s, k in zip(sequences, of, strict=True):
-            counts.emit[k] += np.bincount(s, minlength=n)
-            counts.first[k] += 1
+            seeds.append(int((near @ near[seeds].T).max(1).argmin()))
+
+        def count(given: np.ndarray, sequences: list[np.ndarray], counts: Counts) -> None:
+            for low in range(0, len(sequences), 1000):
+                some = sequences[low : low + 1000]
+                for s, k in zip(some, (features(some, first) @ given.T).argmax(1), strict=True):
+                    np.add.at(counts.emit[k], s, 1.0)
+                    counts.first[k] += 1
+
+        counts = _summed(texts, language, near[seeds], STATES, count)
         counts.move = np.eye(STATES) * 20
-    counts.emit += rnd.random(counts.emit.shape) * 0.01
-    model = counts.model(language.overall)
-    laid = [b for _, b in batches(sequences)]
-    for _ in range(START_ROUNDS if laid else 0):
-        counts = Counts(STATES, n)
-        for batch in laid:
-            batch.expect(model, counts)
-        model = counts.model(language.overall)
-    return model
+    counts.emit += np.random.default_rng(5).random(counts.emit.shape) * 0.01
+    return counts.model(language.overall)
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Language, DataFrame]:
@@ -275,9 +332,10 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Language, DataFrame]:
     for row in vocabulary.select("word", "c").mapInArrow(run, "k bigint, total double, once double").groupBy("k").agg(F.sum("total"), F.sum("once")).collect():
         sums[row[0]], once[row[0]] = row[1], row[2]
     language = Language(int(totals[0] or 0), int(totals[1]), dict(top), head, sums, once, int(totals[2] or 0))
-    language.model = _start(docs, language, language.ends)
+    texts = _classes(docs, language)
+    language.model = _start(texts, language)
     for _ in range(rounds):
-        language.model = _expected(docs, language).model(language.overall)
+        language.model = _expected(texts, language).model(language.overall)
     return language, vocabulary
 
 

@@ -168,6 +168,18 @@ def test_language_model(spark, docs):
     assert all(r.n_known == 0 for r in hmm_lm.score_documents(docs.limit(5), F.lit(False)).collect())
 
 
+def test_states_start_from_all_documents(spark):
+    # long texts, and copies of one text that come first in order
+    r = random.Random(4)
+    texts = [" ".join(f"{k}{r.randrange(40)}" for _ in range(4000)) for k in ("rain", "zinc") for _ in range(40)] + ["aaaa bbbb " * 14] * 2000
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "raw binary").repartition(3)
+    language, _ = hmm_lm.fit(docs, rounds=0)
+    share = lambda name: language.model.emit[:, [k for w, k in language.classes.items() if w.startswith(name)]].sum(1)
+    for name in (b"rain", b"zinc", b"aaaa"):
+        assert share(name).max() > 100 * share(name).min()
+    assert len({int(share(name).argmax()) for name in (b"rain", b"zinc", b"aaaa")}) == 3
+
+
 def test_recursions_against_all_paths():
     r = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
