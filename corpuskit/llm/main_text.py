@@ -92,7 +92,7 @@ class Page:
         names = ()
         if node.attributes:
             text = " ".join(node.attribute(a) for a in ("class", "id", "role"))
-            names = tuple(sorted({f"name:{w.lower()}" for w in NAME.findall(text)}))[:12]
+            names = tuple(sorted({f"name:{w.lower()}" for w in NAME.findall(text)}))
             if re.search(r"\bhidden\b|display:\s*none", node.attributes):
                 names += ("name:hidden",)
         return ("box", f"tag:{node.tag}", f"held:{size_bin(n)}", f"links:{share}:{min(size_bin(n), 8) // 3}", *names)
@@ -134,12 +134,13 @@ class Model:
         self.kept: dict[tuple, np.ndarray] = {}
 
     def evidence(self, seen: tuple) -> np.ndarray:
+        # what no labelled page has says nothing
+        seen = tuple(f for f in seen if f in self.features)
         found = self.kept.get(seen)
         if found is None:
             if len(self.kept) > 200_000:
                 self.kept.clear()
-            # what no labelled page has says nothing
-            found = self.kept[seen] = sum((self.features[f] for f in seen if f in self.features), np.zeros(3))
+            found = self.kept[seen] = sum((self.features[f] for f in seen), np.zeros(3))
         return found
 
     def marginals(self, pages: list[Page]) -> list[np.ndarray]:

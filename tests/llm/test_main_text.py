@@ -28,6 +28,16 @@ def test_pages(page, want):
     assert text(page) == want.strip()
 
 
+def test_all_names_of_an_element_count():
+    utilities = "auto bg border col d-flex gap grid items-center justify lg-block m-auto md-inline mt-auto p-auto"
+    menu = Page(f"<div class='{utilities} sidebar widget'><p>{LONG}</p></div>")
+    seen = menu.seen(1)
+    assert {"name:sidebar", "name:widget", "name:auto"} <= set(seen)
+    alone = Page(f"<div class='sidebar widget'><p>{LONG}</p></div>")
+    known = lambda names: {f for f in names if f in default_model().features}
+    assert known(alone.seen(1)) <= known(seen)
+
+
 def test_held_out_pages():
     right = []
     for page in labelled_pages(60, seed=99):
