@@ -16,16 +16,14 @@ from corpuskit.llm.mixing import mixed_documents
 from corpuskit.llm.ngram_join import first_of_each
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text of at least so many words whose two best languages are nearly equal is rejected as mixed.
-MIXED_WORDS = 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: texts without letters and longer texts between two languages go."""
+    """Documents in a language: texts without letters go; those between two languages stay, as do all with letters if no label trains a model."""
     model = train(docs.filter(split_of(F.col("doc_id"), 4) != 2))
-    found = identify(docs.select(*COLUMNS), model)
-    mixed = F.col("ambiguous") & (F.size(F.split("text", r"\s+")) >= MIXED_WORDS)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & ~mixed).select(*COLUMNS)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return identify(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,6 +204,19 @@ def test_recursions_against_all_paths():
     assert np.allclose(emit, counts.emit) and np.allclose(move, counts.move)
 
 
+def test_pipeline_keeps_texts_with_letters(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    F = __import__("pyspark").sql.functions
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(["the house und das Haus " * 8, "ein Haus", "12 !?", "", None])]
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.language(spark, at, "").collect()} == {0, 1}
+    between = lambda df, model: df.withColumn("lang_pred", F.when(F.col("text").rlike("[a-z]"), "en").otherwise("und")).withColumn("ambiguous", F.lit(True))
+    monkeypatch.setattr(cp, "identify", between)
+    monkeypatch.setattr(cp, "train", lambda df: "a model")
+    assert {r.doc_id for r in cp.language(spark, at, "").collect()} == {0, 1}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as cp
 
