@@ -10,119 +10,103 @@ Metadata queries read no ids.
 
 from __future__ import annotations
 
+import json
 import os
-import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.llm.bpe import byte_alphabet
+from corpuskit.llm.words import MARKS, Memory, gathered, letters_and_marks, parts_of, slices, split
 
 #: Words of one generation of a worker's memory; two are kept, and results do not depend on them.
-CACHE = 300_000
-#: Marks that end a word of letters and never join a letter.
-MARKS = ".,!?;:"
+CACHE = 200_000
 #: The last Latin letter that is one character, whose lower case is one as well.
 LATIN = "\u024f"
-
-
-class Memory(dict):
-    """A dict of two generations: when one is full the other is dropped, and what is asked for again moves on."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def __missing__(self, key):
-        found = self[key] = self.older[key]
-        return found
-
-    def unknown(self, keys: set) -> set:
-        """The keys that are in neither generation. The others are moved to the young one, and all of them will fit."""
-        missing = keys.difference(self)
-        back = [k for k in missing if k in self.older]
-        self.update((k, self.older[k]) for k in back)
-        missing.difference_update(back)
-        if len(self) + len(missing) > CACHE:
-            self.older = dict(self)
-            self.clear()
-        return missing
+#: What the vocabulary files that this serves do to a text before their model.
+NORMAL = [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def drops_white_space(spec: dict) -> bool:
+    """Is a vocabulary file one that lower-cases, parts a text at white space and drops it, and then splits into letters, digits and marks."""
+    before, steps = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    normal = [(x.get("type"), x.get("pattern")) for x in before.get("normalizers", [])]
+    return (
+        normal == NORMAL
+        and before["normalizers"][1].get("content") == " "
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and spec["model"]["type"] == "BPE"
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(map(str.isspace, t["content"])) for t in spec.get("added_tokens", []))
+    )
 
 
 class Words:
     """Ids of words between ASCII white space, by the tokenizers library, packed as uint32.
 
     The vocabularies this serves drop white space and never join across it, so a text's ids are
-    those of its words one after the other.
+    those of its words one after the other; other files are refused.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            if not drops_white_space(json.load(file)):
+                raise ValueError(f"{path}: not a vocabulary that drops white space")
         self.library = Tokenizer.from_file(path)
-        self.memory, self.spelt = Memory(), {}
+        self.memory = Memory(CACHE)
         #: Bytes as the characters that the vocabulary writes for them.
         self.written = {b: c for c, b in byte_alphabet().items()}
-        probe = ["the", "Hotel,", "\u00dcber", "na\u00efve.", "stra\u00dfe!?", "word;", "i"]
-        self.simple = [self._letters(w) for w in probe] == [np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in probe]
-
-    def _singly(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.memory[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _model(self, spelt: str) -> bytes:
-        """What the library's model makes of a word, in lower case; remembered, as words differ most in case and marks."""
-        found = self.spelt.get(spelt)
-        if found is None:
-            if len(self.spelt) >= CACHE:
-                self.spelt.clear()
-            ids = [t.id for t in self.library.model.tokenize(spelt if spelt.isascii() else spelt.encode().decode("latin-1").translate(self.written))]
-            found = self.spelt[spelt] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def _letters(self, word: str) -> bytes | None:
-        """The ids of Latin letters with marks behind by the library's model itself, without its steps
-        before that, which leave such a word as it is but for its case; None for any other word."""
-        letters = word.rstrip(MARKS)
-        low = letters.lower()
-        if not low.isalpha() or not low.isascii() and (not letters.isalpha() or max(low) > LATIN):
-            return None
-        return self._model(low) if len(letters) == len(word) else self._model(low) + self._model(word[len(letters) :])
-
-    def learn(self, words: set[bytes]) -> None:
-        other = []
-        for word in self.memory.unknown(words):
-            ids = self._letters(word.decode()) if self.simple else None
-            if ids is None:
-                other.append(word)
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """What the library's model makes of letters in lower case, or of marks, without its steps before that, which leave them as they are."""
+        model, written = self.library.model.tokenize, self.written
+        ids, ends = [], [0]
+        for p in pieces:
+            if p:
+                ids += [t.id for t in model(p.decode() if p.isascii() else p.decode("latin-1").translate(written))]
+            ends.append(4 * len(ids))
+        packed = np.array(ids, "<u4").tobytes()
+        return [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """Words of Latin letters with marks behind in these two pieces; any other word by itself."""
+        out, heads, tails, other = [b""] * len(words), [], [], []
+        for i, word in enumerate(words):
+            text = word.decode(errors="replace")
+            letters = text.rstrip(MARKS)
+            low = letters.lower()
+            if letters and letters.isalpha() and low.isalpha() and max(low) <= LATIN:
+                heads.append((i, low.encode()))
+                tails.append(text[len(letters) :].encode())
             else:
-                self.memory[word] = ids
-        self._singly(other)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        found = list(map(self.memory.get, flat))
-        if None in found:  # each word is looked up once; those not known are learnt and filled in
-            gaps = list(compress(range(len(flat)), map(is_, found, repeat(None))))
-            self.learn({flat[i] for i in gaps})
-            for i in gaps:
-                found[i] = self.memory[flat[i]]
-        out, start = [], 0
-        for words in split:
-            end = start + len(words)
-            out.append(b"".join(found[start:end]))
-            start = end
+                other.append((i, text))
+        kinds = list(dict.fromkeys(tails))
+        marks = dict(zip(kinds, self._pieces(kinds), strict=True))
+        for (i, _), head, tail in zip(heads, self._pieces([h for _, h in heads]), tails, strict=True):
+            out[i] = head + marks[tail]
+        for (i, _), found in zip(other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
         return out
 
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ids): text i has the ids[starts[i] : starts[i + 1]], `end` last. Null texts are empty; bytes that are no UTF-8 count as U+FFFD."""
+        starts, codes, words = split(texts)
+        plain, letters, marks = letters_and_marks(words)
+        parts, places = parts_of(codes, plain, pc.ascii_lower(letters), marks, words.filter(pa.array(~plain)), self.memory, self._pieces, self._whole)
+        at, packed = gathered([*parts, end], np.insert(places, 2 * starts[1:], len(parts)))
+        return at[2 * starts + np.arange(len(starts))] // 4, np.frombuffer(packed, "<i4")
+
 
 _words: dict[str, Words] = {}
 
@@ -133,26 +117,14 @@ def words_of(path: str) -> Words:
     return _words[path]
 
 
-def groups(texts: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
-    """Runs of texts of about two megabytes; a longer text stands alone."""
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > most:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
-
-
 def write_token_files(df: DataFrame, where: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 500) -> None:
     """Encode every whole text and write the files, in ascending key order over all files.
 
     Null texts count as empty (the end id alone). Null keys come first; rows of one key are
     ordered by a hash of their text, and repeated rows are written as often as they come. No rows:
     no files with rows. One range shuffle of the texts; encoding follows it in the same stage as
-    the writing. tokenizer: a vocabulary file that drops white space.
+    the writing, and holds a few megabytes of text at a time, or one longer text. tokenizer: a
+    vocabulary file that drops white space; any other is an error.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
     rows = rows.withColumn("tie", F.xxhash64("raw")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
@@ -164,13 +136,12 @@ def write_token_files(df: DataFrame, where: str, tokenizer: str, key: str = "doc
         own, part, start = words_of(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                piece = batch.slice(low, 2000)
-                packed = [x + end for g in groups(piece.column("raw").to_pylist()) for x in own.encode(g)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(np.full(len(packed), part), pa.int32()), pa.array(start + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), ids], names=schema.names)
-                start += int(ends[-1])
+            for low, n in slices(batch.column("raw")):
+                piece = batch.slice(low, n)
+                at, ids = own.encode(piece.column("raw"), end)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(np.full(n, part), pa.int32()), pa.array(start + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), lists], names=schema.names)
+                start += int(at[-1])
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "snappy"}
     writer = rows.select("key", "raw").mapInArrow(run, schema).write

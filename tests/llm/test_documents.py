@@ -1,15 +1,19 @@
 """Operators on documents against brute force, with nulls, ties, empty and long texts, repeated rows and clashing names."""
 
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from corpuskit.llm import hmm_lm, langid, mixing, ngram_join, token_files
 from corpuskit.llm._shared import new_path, split_of, tokenizer_path
+from corpuskit.llm.words import Memory, slices, split
 
 PATH = tokenizer_path("word_bpe_49k.json")
 ODD = ["The", "the,", "Über", "naïve.", "<|endoftext|>", "don't", "x!!", "12", "\xa0a", "中文", "ǰ", "J̌", "Σ", "İ", "\U0001f600", "..."]
@@ -98,13 +102,47 @@ def test_token_files(spark, docs):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def test_memory_of_words_forgets_without_harm(monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE", 7)
+def test_memory_of_words_forgets_without_harm():
     own, lib = token_files.Words(PATH), Tokenizer.from_file(PATH)
+    own.memory = Memory(7)
     r = random.Random(1)
     for _ in range(60):
-        text = " ".join(r.choice(ODD + ["cat", "dog;", "Haus", "émile"]) for _ in range(r.randrange(1, 14)))
-        assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        texts = [" ".join(r.choice(ODD + ["cat", "dog;", "Haus", "émile", "'", "'s", "a'S"]) for _ in range(r.randrange(0, 14))) for _ in range(3)]
+        at, ids = own.encode(pa.array([*texts, None]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [lib.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+
+
+def test_words_equal_pythons():
+    r = random.Random(1)
+    texts = ["".join(r.choice(["a", "B", "é", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "中"]) for _ in range(r.randrange(0, 12))) for _ in range(3000)] + [None, "", "x" * 100_000]
+    raw = [(t or "").encode() for t in texts]
+    for column in (pa.array(texts), pa.array(texts).slice(5, 300), pa.array(raw), pa.array([], pa.string()), pa.array([None, ""])):
+        for lower in (False, True):
+            starts, codes, found = split(column, lower)
+            want = [(x if isinstance(x, bytes) else (x or "").encode()) for x in column.to_pylist()]
+            words = found.to_pylist()
+            assert [[words[k] for k in codes[a:b]] for a, b in zip(starts, starts[1:], strict=False)] == [(x.lower() if lower else x).split() for x in want]
+    runs = list(slices(pa.array(["a" * 10, "b" * 30, None, "c"] * 3), 25))
+    assert [low for low, _ in runs] == [sum(n for _, n in runs[:i]) for i in range(len(runs))] and sum(n for _, n in runs) == 12
+
+
+def test_layout_of_token_files(spark):
+    path = new_path(spark, "tokens")
+    rows = [(i, " ".join(f"w{i * j % 977}" for j in range(60))) for i in range(3000)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, PATH, row_group_bytes=200_000, page_bytes=8 << 10, page_rows=100)
+    folder = path.removeprefix("file://")
+    files = [pq.ParquetFile(os.path.join(folder, f)) for f in sorted(os.listdir(folder)) if f.endswith(".parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 3000 and max(f.metadata.num_row_groups for f in files) > 1
+    for f in files:
+        for g in range(f.metadata.num_row_groups):
+            column = {f.metadata.row_group(g).column(c).path_in_schema: f.metadata.row_group(g).column(c) for c in range(f.metadata.num_columns)}
+            ids = next(v for k, v in column.items() if k.startswith("ids"))
+            assert ids.has_dictionary_page or any("DELTA" in e for e in ids.encodings)
+            assert column["key"].has_offset_index and column["key"].has_column_index
+    plan = token_files.read_token_files(spark, path, 10, 12)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(key,10)" in plan
+    with pytest.raises(ValueError, match="white space"):
+        token_files.Words(tokenizer_path("byte_bpe_50k.json"))
 
 
 def test_targets():
