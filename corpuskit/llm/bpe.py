@@ -22,14 +22,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm.words import Memory, gathered, letters_and_marks, listed, parts_in, parts_of, slices
+
 #: Fixed value: the pattern that byte-level tokenizers split a text with before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
+#: Pieces of one generation of a worker's memory, and pairs of tokens that it remembers; results do not depend on them.
 CACHE = 150_000
 NEVER = 1 << 60
 
@@ -90,15 +93,17 @@ class Automaton:
         return nxt
 
 
-class Codec(dict):
-    """Encoder and decoder of one vocabulary file. As a dict: a chunk after a space to its ids, packed as uint32."""
+class Codec:
+    """Encoder and decoder of one vocabulary file; ids are packed as little-endian uint32."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, alphabet = spec["model"], byte_alphabet()
-        if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("end_of_word_suffix"):
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not spec.get("normalizer")
+        odd = any(model.get(x) for x in ("end_of_word_suffix", "continuing_subword_prefix", "dropout", "unk_token", "byte_fallback", "ignore_merges"))
+        if not plain or odd or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec["added_tokens"]):
             raise ValueError(f"{path}: not a plain byte-level vocabulary")
         self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in model["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -116,9 +121,10 @@ class Codec(dict):
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
         self.odd_space = re.compile(r" (?:\s|\Z)")
-        self.pieces: dict[str, bytes] = {}
+        self.memory = Memory(CACHE)
         self.text_of = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.size_of = [len(x) for x in self.text_of]
+        self.texts = pa.array(self.text_of, pa.large_binary())
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(node, rank at which its parent swallows it) from the whole token down one side."""
@@ -179,34 +185,55 @@ class Codec(dict):
             i -= size[last[i]]
         return ids[::-1]
 
-    def packed(self, word: str) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
         """The ids of one piece that PATTERN splits off."""
-        found = self.pieces.get(word)
-        if found is None:
-            ids = self.encode_word(word.encode())
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[word] = found
-        return found
+        found = self.encode_word(piece)
+        return struct.pack(f"<{len(found)}I", *found)
 
-    def __missing__(self, chunk: str) -> bytes:
-        """The ids of a chunk with one space before it."""
-        found = b"".join(map(self.packed, self.words.findall(f" {chunk}")))
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = found
-        return found
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return [self._piece(p) if p else b"" for p in pieces]
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks, each of which begins with its space."""
+        return [self._plain(c.decode(errors="replace")) for c in chunks]
 
     def _plain(self, text: str) -> bytes:
-        # A space before a character that is no white space always starts a piece, so that a text
-        # falls into chunks at its spaces; texts with spaces before white space take the long way.
-        if self.odd_space.search(text):
-            return b"".join(map(self.packed, self.words.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.packed, self.words.findall(first)), *map(self.__getitem__, rest)])
+        pieces = [w.encode() for w in self.words.findall(text)]
+        kinds = list(dict.fromkeys(pieces))
+        return b"".join(map(dict(zip(kinds, self.memory.look_up(kinds, self._pieces), strict=True)).__getitem__, pieces))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+        """(starts, packed ids): text i has the ids starts[i] to starts[i + 1]. Null texts are empty; bytes that are no UTF-8 count as U+FFFD.
+
+        A space before a character that is no white space always starts a piece, so a text falls into
+        chunks at its spaces, and each distinct chunk is encoded once. What stands before the first
+        space is encoded by itself, as are texts with special tokens or spaces before white space.
+        """
+        raw = pc.fill_null(texts.cast(pa.binary()), b"")
+        read = [t.decode(errors="replace") for t in listed(raw)]
+        long = np.array([bool(self.odd_space.search(t) or self.at_special and self.at_special.search(t)) for t in read], bool)
+        chunks = pc.split_pattern(pc.if_else(pa.array(long), pa.scalar(b"", pa.binary()), raw).view(pa.string()), pattern=" ")
+        starts = np.asarray(chunks.offsets).astype(np.int64)
+        found = chunks.values[starts[0] : starts[-1]].dictionary_encode()
+        starts -= starts[0]
+        words, codes = found.dictionary.view(pa.binary()), found.indices.to_numpy(zero_copy_only=False)
+        plain, letters, marks = letters_and_marks(words)
+        space, none = pa.scalar(" "), pa.scalar("")
+        alone = pc.equal(letters, none)  # marks behind a space
+        heads, tails = pc.binary_join_element_wise(space, pc.if_else(alone, marks, letters), none), pc.if_else(alone, none, marks)
+        others = pc.binary_join_element_wise(space, words.view(pa.string()).filter(pa.array(~plain)), none).view(pa.binary())
+        parts, places = parts_of(codes, plain, heads, tails, others, self.memory, self._pieces, self._chunks)
+        firsts = [self.encode(t) if by_itself else self._plain(t.split(" ", 1)[0]) for t, by_itself in zip(read, long.tolist(), strict=True)]
+        first = 2 * starts[:-1]
+        places[first], places[first + 1] = np.arange(len(firsts)) + len(parts), 0
+        at, packed = gathered(parts + firsts, places)
+        return at[2 * starts] // 4, packed
+
+    def decode_all(self, starts: np.ndarray, packed: memoryview) -> list[bytes]:
+        """The UTF-8 of each list of ids, starts as of encode_all."""
+        taken = self.texts.take(pa.array(np.frombuffer(packed, "<u4").astype(np.int64)))
+        at, raw = parts_in(taken)
+        return [valid(bytes(raw[a:b])) for a, b in zip(at[starts[:-1]].tolist(), at[starts[1:]].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -215,13 +242,17 @@ class Codec(dict):
         return b"".join(struct.pack("<I", self.special[part]) if part in self.special else self._plain(part) for part in self.at_special.split(text))
 
     def decode(self, packed: bytes) -> bytes:
-        """UTF-8 of the text; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.text_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            raw = raw.decode(errors="replace").encode()
-        return raw
+        """The UTF-8 of the text."""
+        return valid(b"".join(map(self.text_of.__getitem__, np.frombuffer(packed, "<u4").tolist())))
+
+
+def valid(raw: bytes) -> bytes:
+    """raw, with U+FFFD for bytes that are no UTF-8."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode(errors="replace").encode()
+    return raw
 
 
 _codecs: dict[str, Codec] = {}
@@ -244,7 +275,8 @@ def bpe(df: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] =
     path: a byte-level vocabulary in JSON, readable on every executor. outputs: of OUTPUTS; the
     digests are of the ids as little-endian uint32 and of the decoded UTF-8. A null text counts as
     empty: no ids, decoded "". Other columns pass; one that is named as an output is replaced.
-    Texts are encoded whole. No shuffle; memory is a batch of rows and two bounded caches.
+    Texts are encoded whole. No shuffle; a worker holds a few megabytes of text at a time, or one
+    longer text, and bounded memories.
     """
     keep = [c for c in df.columns if c not in outputs]
     kept = [c for c in keep if c != text]
@@ -256,18 +288,20 @@ def bpe(df: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = batch.column(len(kept))
-            columns = {o: [] for o in outputs}
-            for value in texts:
-                packed = own.encode(value.as_py() or "")
-                raw = own.decode(packed) if back else b""
-                for o, rows in columns.items():
-                    rows.append(
-                        np.frombuffer(packed, "<i4") if o == "ids" else len(packed) // 4 if o == "n_tokens" else hashlib.sha256(packed).hexdigest() if o == "ids_sha256" else raw.decode() if o == "decoded" else hashlib.sha256(raw).hexdigest()
-                    )
-            arrays = [*batch.columns[: len(kept)], *([texts] if keep_text else [])]
-            arrays += [pa.array(rows, {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}.get(o, pa.string())) for o, rows in columns.items()]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            for low, n in slices(batch.column(len(kept))):
+                piece = batch.slice(low, n)
+                texts = piece.column(len(kept))
+                starts, packed = own.encode_all(texts)
+                raw = own.decode_all(starts, packed) if back else []
+                ends = zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True)
+                made = {
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(packed, "<i4"), pa.int32())),
+                    "n_tokens": lambda: pa.array(np.diff(starts), pa.int64()),
+                    "ids_sha256": lambda: pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b in ends], pa.string()),
+                    "decoded": lambda: pa.array(raw, pa.binary()).cast(pa.string()),
+                    "decoded_sha256": lambda: pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *([texts] if keep_text else []), *(made[o]() for o in outputs)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

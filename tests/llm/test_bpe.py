@@ -1,12 +1,15 @@
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpuskit.llm._shared import tokenizer_path
-from corpuskit.llm.bpe import bpe, codec, decode
+from corpuskit.llm.bpe import Codec, bpe, codec, decode
+from corpuskit.llm.words import Memory
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -24,6 +27,19 @@ def test_equals_library(text):
     own = codec(PATH).encode(text)
     assert np.frombuffer(own, "<u4").tolist() == ids
     assert codec(PATH).decode(own).decode() == LIB.decode(ids, skip_special_tokens=False)
+    starts, packed = codec(PATH).encode_all(pa.array(["a b", text, None, text + " x"]))
+    assert np.frombuffer(packed, "<u4")[starts[1] : starts[2]].tolist() == ids and starts[2] == starts[3]
+    assert [x.decode() for x in codec(PATH).decode_all(starts, packed)] == [LIB.decode(LIB.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in ("a b", text, "", text + " x")]
+
+
+def test_memory_forgets_without_harm():
+    own = Codec(PATH)
+    own.memory = Memory(5)
+    r = random.Random(3)
+    for _ in range(40):
+        texts = ["".join(r.choice([*PARTS, "Don't", "Über", " Über", "x,y", ",", " ,"]) for _ in range(9)) for _ in range(4)]
+        starts, packed = own.encode_all(pa.array(texts))
+        assert np.frombuffer(packed, "<u4").tolist() == [i for t in texts for i in LIB.encode(t, add_special_tokens=False).ids]
 
 
 def test_long_word_is_linear():
