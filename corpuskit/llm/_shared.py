@@ -50,16 +50,52 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and outlives lost executors. Its path goes to `held`, for dropped()."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dropped(spark: SparkSession, held: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in held:
+        delete(spark, path)
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Batches that go to Python hold about `most` bytes, or one longer row, instead of Spark's 64 MB; a session that sets its own keeps it."""
+    if spark.conf.get(BATCH, "67108864b") == "67108864b":
+        spark.conf.set(BATCH, str(most))
+
+
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: workers stay for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded batches, and workers that give their memory back at a task's end."""
+    bounded_batches(df.sparkSession)
+
+    def task(batches):
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(task, schema)
 
 
 def split_of(key: Column, modulus: int) -> Column:

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm._shared import in_arrow
 from corpuskit.llm.words import Memory, gathered, letters_and_marks, listed, parts_in, parts_of, slices
 
 #: Fixed value: the pattern that byte-level tokenizers split a text with before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one generation of a worker's memory, and pairs of tokens that it remembers; results do not depend on them.
-CACHE = 150_000
+CACHE = 200_000
 NEVER = 1 << 60
 
 
@@ -231,7 +232,7 @@ class Codec:
 
     def decode_all(self, starts: np.ndarray, packed: memoryview) -> list[bytes]:
         """The UTF-8 of each list of ids, starts as of encode_all."""
-        taken = self.texts.take(pa.array(np.frombuffer(packed, "<u4").astype(np.int64)))
+        taken = self.texts.take(pa.array(np.frombuffer(packed, "<u4")))
         at, raw = parts_in(taken)
         return [valid(bytes(raw[a:b])) for a, b in zip(at[starts[:-1]].tolist(), at[starts[1:]].tolist(), strict=True)]
 
@@ -303,7 +304,7 @@ def bpe(df: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] =
                 }
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *([texts] if keep_text else []), *(made[o]() for o in outputs)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "text") -> DataFrame:
@@ -318,4 +319,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "text") ->
             rows = [None if x is None else own.decode(np.array(x, "<u4").tobytes()).decode() for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(rows, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm._shared import in_arrow
 from corpuskit.llm.labelled_pages import labelled_pages
 from corpuskit.llm.page_tree import RAW, STRUCTURAL, Node, clean, parse
 
@@ -267,4 +268,4 @@ def extract(df: DataFrame, html_column: str = "html", model: Model | None = None
             flush()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return df.select(*kept, html_column).mapInArrow(run, schema)
+    return in_arrow(df.select(*kept, html_column), run, schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm._shared import in_arrow
 from corpuskit.llm.bpe import byte_alphabet
 from corpuskit.llm.words import MARKS, Memory, gathered, letters_and_marks, parts_of, slices, split
 
@@ -144,7 +145,7 @@ def write_token_files(df: DataFrame, where: str, tokenizer: str, key: str = "doc
                 start += int(at[-1])
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "compression": "snappy"}
-    writer = rows.select("key", "raw").mapInArrow(run, schema).write
+    writer = in_arrow(rows.select("key", "raw"), run, schema).write
     for name, value in options.items():
         writer = writer.option(name, str(value))
     writer.parquet(where)
@@ -188,4 +189,4 @@ def with_crc32(df: DataFrame, ids: str = "ids", output: str = "ids_crc32") -> Da
             crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(crcs, pa.int64(), mask=np.array(lists.is_null()))], names=schema.names)
 
-    return df.select(*kept, ids).mapInArrow(run, schema)
+    return in_arrow(df.select(*kept, ids), run, schema)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm._shared import in_arrow
+
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,7 +89,7 @@ def write_warc(df: DataFrame, where: str, key: str = "page_id", url: str = "url"
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{where}/{path}"], "size": [size]})
 
-    done = rows.mapInArrow(run, "path string, size bigint").collect()  # a row for each archive
+    done = in_arrow(rows, run, "path string, size bigint").collect()  # a row for each archive
     return df.sparkSession.createDataFrame(done, "path string, size bigint")
 
 
@@ -210,4 +212,4 @@ def read_warc(spark: SparkSession, archives: DataFrame, fields: tuple[str, ...]
                     yield pa.RecordBatch.from_pylist(held, shape)
 
     # a task may get several ranges, so that small ranges don't make a flood of tasks
-    return ranges.repartition(min(int(count), max(spark.sparkContext.defaultParallelism * 4, int(count) // 64))).mapInArrow(run, schema)
+    return in_arrow(ranges.repartition(min(int(count), max(spark.sparkContext.defaultParallelism * 4, int(count) // 64))), run, schema)

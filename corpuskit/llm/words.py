@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split together; a longer text stands alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Longer words are never remembered.
 LONGEST = 64
 
@@ -63,7 +63,7 @@ def parts_in(column: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 def gathered(parts: list[bytes], places: np.ndarray) -> tuple[np.ndarray, memoryview]:
     """The parts at places, one after the other: where each begins (and the last ends), and the bytes."""
-    return parts_in(pa.array(parts, pa.large_binary()).take(pa.array(places, pa.int64())))
+    return parts_in(pa.array(parts, pa.large_binary()).take(pa.array(places)))
 
 
 class Memory:
@@ -111,7 +111,7 @@ def parts_of(codes: np.ndarray, plain: np.ndarray, heads: pa.Array, tails: pa.Ar
 
     Of a plain word these are what piece() makes of its head and its tail; of the others, in their
     order, what whole() makes of them and nothing. All of it is remembered. parts[0] is nothing."""
-    parts, place = [b""], np.zeros((len(plain), 2), np.int64)
+    parts, place = [b""], np.zeros((len(plain), 2), np.int32)
     for side, column in enumerate((heads, tails)):
         found = column.dictionary_encode()
         place[plain, side] = found.indices.to_numpy(zero_copy_only=False) + len(parts)
