@@ -3,29 +3,37 @@
 Every language has a codeword of bits. For each bit a binary classifier over hashed byte n-grams
 tells the languages whose word has a 1 there from those with a 0; loss-weighted decoding picks the
 codeword whose bits cost least under the logistic loss of the classifiers' margins. Several
-classifiers have to err before another language is nearest. A text whose two nearest codewords
-cost nearly the same is flagged as ambiguous.
+classifiers have to err before another language is nearest.
+
+A text in two languages has margins between those of either, so it lies less far ahead of the second
+nearest codeword than texts of its language usually do. How far they usually do is measured, like the
+scale of the margins, on labelled rows that the classifiers were not fitted to.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskit.llm._shared import in_arrow
+from corpuskit.llm.words import listed, slices, split
+
 BINS, ORDERS = 1 << 16, (1, 2, 3, 4)
 #: About so many labelled documents of each language train the classifiers (all, if fewer): the bound on the sample.
 PER_LANGUAGE = 2_000
-#: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
-CACHE = 150_000
+#: The share of the sample that is held back from the fit, for the scale of the margins and the usual lead.
+HELD_BACK = 0.2
+#: Distinct words whose n-grams are taken together.
+WORDS = 20_000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 def codewords(n: int) -> np.ndarray:
@@ -48,89 +56,87 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bins of all n-grams of the words, each with a space at either end, and the words they are of."""
     joined = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
     space = joined == 32
-    word = np.cumsum(space) - 1
-    last = np.append(np.nonzero(space)[0], len(joined))
-    ahead = last[np.searchsorted(last, np.arange(len(joined)) + 1)]  # the next space
+    word = np.cumsum(space, dtype=np.int32) - 1
+    last = np.append(np.nonzero(space)[0], len(joined)).astype(np.int32)
+    ahead = last[np.minimum(word + 1, len(last) - 1)]  # the next space
     bins, of = [], []
     rolled = np.zeros(len(joined), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         rolled = rolled[: len(joined) - n + 1] * np.uint32(0x01000193) ^ joined[n - 1 :]
         if n in ORDERS:
-            start = np.arange(len(rolled))
-            fits = (start + n - 1 <= ahead[: len(rolled)]) & (word[: len(rolled)] < len(words))
+            start = np.arange(len(rolled), dtype=np.int32)
+            fits = (start + (n - 1) <= ahead[: len(rolled)]) & (word[: len(rolled)] < len(words))
             if n == 1:
                 fits &= ~space
             mixed = (rolled[fits] + np.uint32(n)) * np.uint32(0x9E3779B1)
-            bins.append(mixed >> np.uint32(16))
+            bins.append((mixed >> np.uint32(16)).astype(np.uint16))
             of.append(word[: len(rolled)][fits])
     return np.concatenate(bins), np.concatenate(of)
 
 
-class Scorer(dict):
-    """Sums of the classifiers' weights over a text. As a dict: word to its row of the table."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        # the last column counts the n-grams
-        self.weights = np.hstack([weights, np.ones((BINS, 1))]).astype(np.float32)
-        self.rows = np.zeros((1024, self.weights.shape[1]), np.float32)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        if not new:
-            return
-        base, end = len(self), len(self) + len(new)
-        if end > len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros((max(end - len(self.rows), len(self.rows)), self.rows.shape[1]), np.float32)])
-        bins, of = grams(new)
-        for c in range(self.rows.shape[1]):
-            self.rows[base:end, c] = np.bincount(of, self.weights[bins, c], len(new))
-        self.update(zip(new, range(base, end), strict=True))
-
-    def sums(self, texts: list[str]) -> np.ndarray:
-        split = [t.lower().encode().split() for t in texts]
-        self.learn({w for words in split for w in words})
-        out = np.zeros((len(texts), self.rows.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                out[i] = self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-        return out
-
-
-def batches_of(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > most:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(pc.fill_null(texts, ""))
+
+
+def sums(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """For each text the sums of its n-grams' rows of weights, and in a last column how many n-grams it has."""
+    starts, codes, found = split(lowered(texts))
+    words = listed(found)
+    rows = np.empty((len(words), weights.shape[1] + 1), np.float32)
+    for low in range(0, len(words), WORDS):
+        some = words[low : low + WORDS]
+        bins, of = grams(some)
+        for c in range(weights.shape[1]):
+            rows[low : low + WORDS, c] = np.bincount(of, weights[bins, c], len(some))
+        rows[low : low + WORDS, -1] = np.bincount(of, minlength=len(some))
+    out, some = np.zeros((len(texts), rows.shape[1])), np.nonzero(np.diff(starts))[0]
+    if len(some):
+        for c in range(rows.shape[1]):
+            out[some, c] = np.add.reduceat(rows[codes, c], starts[some], dtype=np.float64)
+    return out
 
 
 class Model:
-    """languages, their codewords, the weights of each bit's classifier, and the scale of the margins."""
+    """languages, their codewords, the weights of each bit's classifier, the scale of the margins, and the usual lead of each language."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, code: np.ndarray, scale: float = 1.0, lead: np.ndarray | None = None):
+        self.languages, self.weights, self.code, self.scale = languages, weights.astype(np.float32), code, scale
+        self.lead = np.zeros(len(languages)) if lead is None else lead
 
-    def __init__(self, languages: list[str], weights: np.ndarray, code: np.ndarray, scale: float = 1.0):
-        self.languages, self.weights, self.code, self.scale = languages, weights, code, scale
+    def margins(self, sums: np.ndarray) -> np.ndarray:
+        """Of each text and bit, the mean over its n-grams."""
+        return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
-    def probabilities(self, sums: np.ndarray) -> np.ndarray:
-        margins = self.scale * sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-        cost = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
+    def probabilities(self, margins: np.ndarray) -> np.ndarray:
+        cost = np.logaddexp(0, -self.scale * margins[:, None, :] * self.code[None]).sum(2)
         p = np.exp(cost.min(1, keepdims=True) - cost)
         return p / p.sum(1, keepdims=True)
 
+    def ahead(self, margins: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """How far each text's margins agree better with its best codeword than with any other, in margins a bit."""
+        agree = margins @ self.code.T
+        own = agree[np.arange(len(best)), best].copy()
+        agree[np.arange(len(best)), best] = -np.inf
+        return (own - agree.max(1)) / self.code.shape[1] if self.code.shape[0] > 1 else own * 0
+
+    def decided(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, lead): the nearest codeword, its share of the weights, less where the lead is less than usual; and the lead as a share of the usual one."""
+        margins = self.margins(sums)
+        p = self.probabilities(margins)
+        best = p.argmax(1)
+        usual = self.lead[best]
+        lead = np.where(usual > 0, self.ahead(margins, best) / np.where(usual > 0, usual, 1), 1.0)
+        return best, p[np.arange(len(best)), best] * np.clip(lead, 0, 1), lead
+
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the languages in df; None without a labelled text.
 
-    Rows with a null text or language do not count. The sample is every row whose key hashes below
-    its language's share, about per_language rows each. Executors count n-grams of whole texts; the
-    driver gets one histogram for each language and the margins of the sample.
+    Rows with a null text or language do not count. The sample is every row whose key and text hash
+    below its language's share, about per_language rows each; a fifth of it is held back from the fit
+    for the scale and the usual leads (all of it is used for both if a language has fewer than 20
+    rows). Executors count n-grams of whole texts; the driver gets, from each of 16 tasks in turn, one
+    histogram for each language, and the margins of the rows held back.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = sorted((l, n) for l, n in rows.groupBy(F.col(lang).cast("string")).count().collect())
@@ -138,22 +144,30 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return None
     languages = [l for l, _ in counts]
     share = F.create_map(*(F.lit(x) for l, n in counts for x in (l, min(1.0, per_language / n))))
-    position = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(position < F.element_at(share, F.col(lang).cast("string"))).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sample = sample.repartition(16)  # bounded
+    drawn = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.filter(drawn(0) < F.element_at(share, F.col(lang).cast("string")))
+    back = F.lit(True) if min(n for _, n in counts) < 20 else drawn(1) < HELD_BACK
+    sample = sample.select(F.col(lang).cast("string").alias("lang"), back.alias("back"), F.col(text).alias("text")).repartition(16)  # bounded
+    fitted = sample if min(n for _, n in counts) < 20 else sample.filter("NOT back")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for l, t in zip(langs, batch.column(1).to_pylist(), strict=True):
-                if words := t.lower().encode().split():
-                    found[l] = found.get(l, 0) + np.bincount(grams(words)[0], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.astype("<i8").tobytes() for x in found.values()], pa.binary())], names=["lang", "bins"])
+            for low, n in slices(batch.column("text")):
+                piece = batch.slice(low, n)
+                starts, codes, words = split(lowered(piece.column("text")))
+                words, langs = listed(words), np.array(piece.column("lang").to_pylist(), object)
+                of_text = np.repeat(np.arange(n), np.diff(starts))
+                for l in set(langs):
+                    times = np.bincount(codes[langs[of_text] == l], minlength=len(words))
+                    for first in range(0, len(words), WORDS):
+                        bins, of = grams(words[first : first + WORDS])
+                        found[l] = found.get(l, 0) + np.bincount(bins, times[first : first + WORDS][of], BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.astype("<f8").tobytes() for x in found.values()], pa.binary())], names=["lang", "bins"])
 
     histogram = {l: np.zeros(BINS) for l in languages}
-    for row in sample.mapInArrow(count, "lang string, bins binary").toLocalIterator():
-        histogram[row["lang"]] += np.frombuffer(row["bins"], "<i8")
+    for row in in_arrow(fitted.select("lang", "text"), count, "lang string, bins binary").toLocalIterator():
+        histogram[row["lang"]] += np.frombuffer(row["bins"], "<f8")
     code = codewords(len(languages))
     smooth = np.array([(h + 0.5) / (h.sum() + 0.5 * BINS) for h in histogram.values()])
     weights = np.zeros((BINS, code.shape[1]))
@@ -165,30 +179,40 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if len(languages) > 1:
         shared = df.sparkSession.sparkContext.broadcast(model)
 
-        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(shared.value.weights)
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, batch.num_rows, 200):
-                    piece = batch.slice(low, 200)
-                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(scorer.sums(piece.column(1).to_pylist())), pa.list_(pa.float64()))], names=["lang", "sums"])
-
-        seen = sample.mapInArrow(margins, "lang string, sums array<double>").collect()
-        sums, right = np.array([r["sums"] for r in seen]), np.array([languages.index(r["lang"]) for r in seen])
-        likelihood = {}
-        for scale in (1, 2, 4, 8, 16, 32, 64):
-            model.scale = float(scale)
-            likelihood[scale] = np.log(np.maximum(model.probabilities(sums)[np.arange(len(right)), right], 1e-6)).mean()
-        model.scale = float(max(likelihood, key=likelihood.get))
+                for low, n in slices(batch.column("text")):
+                    piece = batch.slice(low, n)
+                    yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array(list(sums(piece.column("text"), shared.value.weights)), pa.list_(pa.float64()))], names=["lang", "sums"])
+
+        seen = in_arrow(sample.filter("back").select("lang", "text"), added, "lang string, sums array<double>").collect()
+        calibrate(model, np.array([r["sums"] for r in seen]).reshape(len(seen), -1), np.array([languages.index(r["lang"]) for r in seen], int))
+        shared.unpersist()
     return model
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", ambiguous_below: float = 0.1) -> DataFrame:
+def calibrate(model: Model, sums: np.ndarray, right: np.ndarray) -> None:
+    """Set the scale under which the right languages are likeliest, and each language's usual lead: the median over its texts."""
+    if not len(right):
+        return
+    margins, likelihood = model.margins(sums), {}
+    for scale in (1, 2, 4, 8, 16, 32, 64):
+        model.scale = float(scale)
+        likelihood[scale] = np.log(np.maximum(model.probabilities(margins)[np.arange(len(right)), right], 1e-6)).mean()
+    model.scale = float(max(likelihood, key=likelihood.get))
+    lead = model.ahead(margins, right)
+    model.lead = np.array([max(np.median(lead[right == k]), 0) if (right == k).any() else 0 for k in range(len(model.languages))])
+
+
+def identify(df: DataFrame, model: Model | None, text: str = "text", ambiguous_below: float = 0.4) -> DataFrame:
     """df with lang_pred, score and ambiguous, one row for a row; columns of those names are replaced.
 
-    score, from 0 to 1, is the language's share among the codewords' weights; ambiguous: the two
-    nearest codewords' shares differ by less than ambiguous_below. A null text, or one without a
-    letter, is `und` with score 0, as is every text without a model. Texts are read whole; equal
-    shares go to the smaller language name. No shuffle.
+    score, from 0 to 1, is the language's share among the codewords' weights, reduced where the text
+    lies less far ahead of the second nearest codeword than its language usually does; ambiguous: it
+    lies ahead by less than ambiguous_below of the usual lead, as texts do that are in two languages.
+    A null text, or one without a letter (a character of Unicode's L categories), is `und` with score
+    0, as is every text without a model. Texts are read whole, a few megabytes or one longer text at a
+    time; equal shares go to the smaller language name. No shuffle.
     """
     new = ("lang_pred", "score", "ambiguous")
     kept = [c for c in df.columns if c not in new]
@@ -198,17 +222,16 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", ambiguous_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        scorer = Scorer(own.weights) if own else None
-        for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
-            texts = [t if t and LETTER.search(t) else "" for t in batch.column(at).to_pylist()]
-            lang, score, ambiguous = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            if own:
-                p = own.probabilities(np.concatenate([scorer.sums(g) for g in batches_of(texts)]))
-                best, ranked = p.argmax(1), np.sort(p, axis=1)
-                gap = ranked[:, -1] - (ranked[:, -2] if p.shape[1] > 1 else 0)
-                for i, t in enumerate(texts):
-                    if t:
-                        lang[i], score[i], ambiguous[i] = own.languages[best[i]], p[i, best[i]], gap[i] < ambiguous_below
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+        for batch in batches:
+            for low, n in slices(batch.column(at)):
+                piece = batch.slice(low, n)
+                lang, score, ambiguous = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
+                texts = pc.fill_null(piece.column(at), "")
+                letters = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False)
+                if own and letters.any():
+                    best, p, lead = own.decided(sums(texts, own.weights))
+                    lang[letters] = np.array(own.languages, object)[best[letters]]
+                    score[letters], ambiguous[letters] = p[letters], lead[letters] < ambiguous_below
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=schema.names)
+
+    return in_arrow(source, run, schema)
