@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ends = edges.select(F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     both = ends.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y").distinct()
-    both, _ = keep(both, "edges")
+    both, all_edges = keep(both, "edges")
     labels, old = keep(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
@@ -40,4 +40,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         delete(spark, old)
         old = path
         if not changed:
+            delete(spark, all_edges)
             return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))

@@ -21,6 +21,7 @@ returned are components, and any pair of them that could link has been compared
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm._shared import written
+from corpuskit.llm._shared import dropped, in_arrow, written
 from corpuskit.llm.components import components
+from corpuskit.llm.words import listed, slices, split
 
 #: Up to so many sets that pass the first filter are sent to the scan as a broadcast list of ids (16 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
+#: A shingle that more than so many sets hold in their prefixes is parted further before its pairs are made.
+HOT = 100
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -46,17 +50,15 @@ def scrambled(x: np.ndarray, key: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams."""
-    words = text.lower().split()  # of bytes: ASCII letters and white space only
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the n-grams of words, which are given by their hashes."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     span = min(n, width)
     out = np.full(n - span + 1, span, np.uint64)
     for k in range(span):
-        out = scrambled(out ^ (h[k : n - span + 1 + k] * ODD[k % 5] + np.uint64(k)))
+        out = scrambled(out ^ (words[k : n - span + 1 + k] * ODD[k % 5] + np.uint64(k)))
     return np.unique(out)
 
 
@@ -92,27 +94,32 @@ def sets_of(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     """id, n, class of each (id, text); and either the hashes that the first order counts, of which
     the first `tested` are the set's own test, or the whole set with its prefixes in orders 3 and 4."""
     schema = "id bigint, n bigint, class string" + (", hashes array<bigint>, third array<int>, fourth array<int>" if whole else ", short bigint, tested bigint, hashes array<bigint>")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        n = [len(s) for s in sets]
+        kinds = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+        out = [ids, pa.array(n, pa.int64()), pa.array(kinds, pa.string())]
+        if whole:
+            first = [may_miss(k, percent) + 1 for k in n]
+            orders = [[np.sort(scrambled(s, key))[:f].astype(np.uint32).view(np.int32) for s, f in zip(sets, first, strict=True)] for key in (3, 4)]
+            out += [_lists(list(map(signed, sets)), pa.int64()), *(_lists(o, pa.int32()) for o in orders)]
+        else:
+            out.append(pa.array([int(c[:15], 16) for c in kinds], pa.int64()))
+            out.append(pa.array([below(s, share(k, width, percent)) for s, k in zip(sets, n, strict=True)], pa.int64()))
+            # a partner may be smaller, and then its test reaches farther
+            out.append(_lists([signed(s[: below(s, share(percent * k // 100, width, percent))]) for s, k in zip(sets, n, strict=True)], pa.int64()))
+        return pa.RecordBatch.from_arrays(out, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                piece = batch.slice(low, 500)
-                sets = [shingles(t or b"", width) for t in piece.column("raw").to_pylist()]
-                n = [len(s) for s in sets]
-                kinds = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-                out = [piece.column("id"), pa.array(n, pa.int64()), pa.array(kinds, pa.string())]
-                if whole:
-                    first = [may_miss(k, percent) + 1 for k in n]
-                    orders = [[np.sort(scrambled(s, key))[:f].astype(np.uint32).view(np.int32) for s, f in zip(sets, first, strict=True)] for key in (3, 4)]
-                    out += [_lists(list(map(signed, sets)), pa.int64()), *(_lists(o, pa.int32()) for o in orders)]
-                else:
-                    out.append(pa.array([int(c[:15], 16) for c in kinds], pa.int64()))
-                    out.append(pa.array([below(s, share(k, width, percent)) for s, k in zip(sets, n, strict=True)], pa.int64()))
-                    # a partner may be smaller, and then its test reaches farther
-                    out.append(_lists([signed(s[: below(s, share(percent * k // 100, width, percent))]) for s, k in zip(sets, n, strict=True)], pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
-
-    return df.mapInArrow(run, schema)
+            for low, rows in slices(batch.column("raw")):
+                piece = batch.slice(low, rows)
+                starts, codes, words = split(piece.column("raw"), lower=True)
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, listed(words)), np.uint64, len(words))[codes]
+                yield made(piece.column("id"), [shingles(hashes[a:b], width) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
+
+    return in_arrow(df, run, schema)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,6 +133,34 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(both * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
+def _pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of classes in different parts that share a prefix shingle, at places and of sizes that leave a link possible.
+
+    placed: class, n, at, h, part. Sizes of linked sets differ little, so a shingle's sets are parted by
+    size as well, and each meets those of its own step of sizes and of the next. Where more than HOT sets
+    hold a shingle they are parted by the tokens of their third prefix too, which any linked pair shares,
+    so that no task enumerates all pairs of a hot shingle.
+    """
+    step = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9))  # a partner's is the same or the next
+    placed = placed.withColumn("step", step)
+    counts = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low < high")
+    placed = placed.join(counts.select("h", (F.col("sets") > HOT).alias("hot")), "h")
+    third = sets.select(F.col("class").alias("c"), "third")
+    hot = placed.filter("hot").join(third, F.col("class") == F.col("c")).withColumn("t", F.explode("third"))
+    keyed = placed.filter("NOT hot").withColumn("t", F.lit(0)).select("class", "n", "at", "h", "t", "step", "part").unionByName(hot.select("class", "n", "at", "h", "t", "step", "part"))
+    x = keyed.withColumn("meets", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
+    met = (F.col("h_x") == F.col("h_y")) & (F.col("t_x") == F.col("t_y")) & (F.col("meets_x") == F.col("step_y")) & (F.col("part_x") != F.col("part_y")) & enough("x", "y", percent)
+    # of one step, each pair once; the smaller class first in the end
+    met = met & ((F.col("step_x") != F.col("step_y")) | (F.col("class_x") < F.col("class_y")))
+    return side(x, "x").join(side(keyed, "y"), met).select(F.least("class_x", "class_y").alias("x"), F.greatest("class_x", "class_y").alias("y")).distinct()
+
+
+def enough(a: str, b: str, percent: int) -> "F.Column":
+    """A link between two sets leaves at least this many shingles from the shared place on."""
+    return F.least(F.col(f"n_{a}") - F.col(f"at_{a}"), F.col(f"n_{b}") - F.col(f"at_{b}")) * (100 + percent) >= (F.col(f"n_{a}") + F.col(f"n_{b}")) * percent
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles, component_id for each row of df.
 
@@ -134,12 +169,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     with nothing. Shingles are told apart by 64-bit hashes. component_id is the smallest key that
     links reach, the row's own included. Rows that repeat a key are one node of the links, whichever
     row has them; rows with a null key link with nothing and have a null component. No rows: none.
-    Other columns do not pass, so their names cannot clash.
+    Texts are read whole, a few megabytes or one longer text at a time. Other columns do not pass, so
+    their names cannot clash.
     """
+    spark, held = df.sparkSession, []
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("raw"))
     first = written(sets_of(docs, width, percent, whole=False), "shingles")
     some = first.filter("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "class", "short").agg(F.min("id").alias("id"))
+    classes = written(some.groupBy("n", "class", "short").agg(F.min("id").alias("id")), "classes")
+    # keys whose rows have different sets tie their classes together
+    mixed = some.groupBy("id").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low < high").select(F.col("id").alias("k"))
+    tied = some.select("id", "class").join(mixed, F.col("id") == F.col("k"), "left_semi").distinct()
+    tied = tied.join(classes.select(F.col("class").alias("c"), F.col("id").alias("a")), F.col("class") == F.col("c")).select("a", F.col("id").alias("b"))
+    tied = written(tied, "tied", held)
 
     # order 1: hashes below the bounds that only one class has, and how many of them it has. Copies
     # have one class and so count once. 60 bits of a class name it here; where two classes share them,
@@ -150,11 +192,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     twins = classes.groupBy("short").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     left = classes.join(alone, "short", "left").join(twins, "short", "left")
     left = left.filter((F.coalesce("alone", F.lit(0)) <= room_to_miss(percent)) | F.col("classes").isNotNull())
-    left = written(left.select("id", "class"), "left")
+    left = written(left.select("id", "class"), "left", held)
     ids = left.select("id").distinct()
     ids = F.broadcast(ids) if left.count() <= BROADCAST_IDS else ids
-    sets = sets_of(docs.join(ids, "id", "left_semi"), width, percent, whole=True).filter("n > 0").dropDuplicates(["class"])
-    sets = written(sets, "sets")
+    sets = sets_of(docs.join(ids, "id", "left_semi"), width, percent, whole=True).filter("n > 0")
+    # a class's set under the key that names it, though that key may have other rows
+    sets = sets.join(left.select(F.col("id").alias("i"), F.col("class").alias("c")), (F.col("id") == F.col("i")) & (F.col("class") == F.col("c")), "left_semi")
+    sets = written(sets.dropDuplicates(["class"]), "sets", held)
 
     # order 2: rarest first among the sets that are left
     tokens = sets.select("class", "id", "n", F.explode("hashes").alias("h"))
@@ -162,29 +206,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     common = tokens.join(counts, "h").groupBy("class", "id", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("shared"))
     common = common.withColumn("rare", F.col("n") - F.size("shared")).withColumn("room", room_to_miss(percent) - F.col("rare") + 1).filter("room > 0")
     prefix = common.select("class", "id", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("room").cast("int"))).alias("k", "t"))
-    prefix = written(prefix.select("class", "id", "n", "rare", (F.col("rare") + F.col("k")).alias("at"), F.col("t.h").alias("h")), "prefix")
+    prefix = written(prefix.select("class", "id", "n", "rare", (F.col("rare") + F.col("k")).alias("at"), F.col("t.h").alias("h")), "prefix", held)
 
-    # a link between two sets leaves at least this many shingles from the shared place on
-    enough = lambda a, b: F.least(F.col(f"n_{a}") - F.col(f"at_{a}"), F.col(f"n_{b}") - F.col(f"at_{b}")) * (100 + percent) >= (F.col(f"n_{a}") + F.col(f"n_{b}")) * percent
     side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
     centres = prefix.groupBy("h").agg(F.min(F.struct("rare", "id", "class", "n", "at")).alias("c"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("h", "c.*")
-    stars = side(prefix, "y").join(side(centres, "x"), F.col("h_x") == F.col("h_y")).filter((F.col("class_x") != F.col("class_y")) & enough("x", "y"))
-    links = written(_compared(stars.select(F.col("class_x").alias("x"), F.col("class_y").alias("y")).distinct(), sets, percent), "links")
+    stars = side(prefix, "y").join(side(centres, "x"), F.col("h_x") == F.col("h_y")).filter((F.col("class_x") != F.col("class_y")) & enough("x", "y", percent))
+    links = _compared(stars.select(F.col("class_x").alias("x"), F.col("class_y").alias("y")).distinct(), sets, percent)
+    links = written(links.unionByName(tied), "links", held)
 
     # what is left: pairs across components
     joined = components(links)
     placed = prefix.join(joined, F.col("id") == F.col("node"), "left").select("class", "n", "at", "h", F.coalesce("component", "id").alias("part"))
-    mixed = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("h")
-    placed = placed.join(mixed, "h")
-    pairs = side(placed, "x").join(side(placed, "y"), (F.col("h_x") == F.col("h_y")) & (F.col("part_x") < F.col("part_y")) & enough("x", "y"))
-    pairs = pairs.select(F.col("class_x").alias("x"), F.col("class_y").alias("y")).distinct()
-    more = written(_compared(pairs, sets, percent), "links")
+    more = written(_compared(_pairs(placed, sets, percent), sets, percent), "links", held)
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
+    dropped(spark, held)
 
     ends = classes.join(joined, F.col("id") == F.col("node"), "left").select(F.col("class").alias("c"), F.coalesce("component", "id").alias("component"))
-    # rows of a repeated key take the smallest component of its classes
-    out = first.join(ends, first["class"] == ends["c"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    out = first.select("id", "n", "class").join(ends, F.col("class") == F.col("c"), "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id")).alias("component_id"))
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

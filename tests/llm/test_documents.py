@@ -55,7 +55,7 @@ def sets_of(text, width):
 
 def brute_components(rows, width, percent):
     nodes = [(i, sets_of(t, width)) for i, t, *_ in rows if i is not None]
-    up = {i: i for i, _ in nodes}
+    up = {i: i for i, _ in nodes}  # rows that repeat a key are one node
 
     def top(k):
         while up[k] != k:
@@ -80,6 +80,21 @@ def test_ngram_join(spark, docs, width, percent):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want and [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("hot", [1, 100])
+def test_ngram_join_with_repeated_keys_and_hot_shingles(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [[r.choice(vocabulary) for _ in range(80)] for _ in range(3)]
+    near = lambda words, n: " ".join(w if r.random() > n / len(words) else r.choice(vocabulary) for w in words)
+    rows = [(3, near(base[0], 0)), (5, near(base[0], 0)), (5, near(base[1], 0)), (7, near(base[2], 0)), (9, near(base[1], 0)), (11, near(base[1], 1)), (12, near(base[2], 1)), (9, near(base[2], 2))]
+    # one shingle that every text holds, and little else in common
+    rows += [(100 + i, "one hot line " + " ".join(r.choice(vocabulary[: 3 + i % 5]) for _ in range(r.randrange(3, 9)))) for i in range(150)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2, percent=70).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == brute_components(rows, 2, 70)
+    assert {r.component_id for r in got if r.doc_id < 100} == {3}
+
+
 def test_ngram_join_without_rows(spark, docs):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
     one = ngram_join.first_of_each(docs)
