@@ -17,30 +17,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuskit.llm._shared import written
-from corpuskit.llm.vectors_near import usable
+from corpuskit.llm.vectors_near import numbered, usable
 
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 4096, 256
+#: Rows of the first stretch of all lists; each stretch is twice the one before. Tiles are dealt to at most so many tasks.
+FIRST, MOST_TASKS = 4, 20_000
 
 
 class Lists:
     """A block of candidates with its sorted lists."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, numbers: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
+        #: What names a row, where ids may repeat.
+        self.numbers = self.ids if numbers is None else numbers[order]
+        self.scored = 0
         self.order = np.argsort(-self.rows, axis=0, kind="stable")  # a list for each dimension, best first
         self.value = np.take_along_axis(self.rows, self.order, 0)
         # sums of products stay exact in double below 2^53
         self.fast = self.rows.astype(float) if np.abs(self.rows).max(initial=0) < 1 << 22 else None
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, equal scores by smaller id; the query's own id takes no part."""
+        """Ids and scores of the k best, equal scores by smaller id; the query's own row takes no part."""
         n = len(self.ids)
-        seen = self.ids == own
+        seen = self.numbers == own
         best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         down = query < 0
         dims = np.nonzero(query)[0]
-        depth, stretch = 0, max(8, n // 64)
+        depth, stretch = 0, FIRST
         while not seen.all():
             end = min(n, depth + stretch)
             up_part = self.order[depth:end][:, dims[~down[dims]]]
@@ -51,6 +56,7 @@ class Lists:
                 fresh[:] = True
             fresh = np.nonzero(fresh & ~seen)[0]
             seen[fresh] = True
+            self.scored += len(fresh)
             if self.fast is not None and np.abs(query).max(initial=0) < 1 << 22:
                 scores = (self.fast[fresh] @ query.astype(float)).astype(np.int64)
             else:
@@ -78,24 +84,28 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str
     as one, the one with the greatest vector. Fewer than k candidates: all. No rows: none. A tile
     returns at most k rows for each of its queries.
     """
-    one = df.filter(F.col(key).isNotNull() & usable(vector)).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(F.col(vector).cast("array<double>")).alias("v"))
-    rows = written(one.select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("bigint")).alias("v"), F.size("v").alias("dim")), "integers")
+    good = df.filter(F.col(key).isNotNull() & usable(vector))
+    floors = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("bigint"))
+    rows = numbered(good, F.col(key).cast("bigint").alias("id"), floors.alias("v"), F.size(vector).alias("dim"), name="integers")
     asked = F.pmod("id", F.lit(every)) == 0
-    counts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / chunk)).cast("int").alias("chunks"))
-    dealt = rows.join(counts, "dim").withColumn("h", F.xxhash64("id"))
+    counts = written(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / chunk)).cast("int").alias("chunks")), "counts")
+    dealt = rows.join(counts, "dim").withColumn("h", F.xxhash64("row"))
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    candidates = dealt.select("id", "v", "dim", F.lit(False).alias("query"), F.pmod("h", "blocks").cast("int").alias("b"), whole("chunks").alias("c"))
-    queries = dealt.filter(asked).select("id", "v", "dim", F.lit(True).alias("query"), whole("blocks").alias("b"), F.pmod("h", "chunks").cast("int").alias("c"))
+    candidates = dealt.select("row", "id", "v", "dim", F.lit(False).alias("query"), F.pmod("h", "blocks").cast("int").alias("b"), whole("chunks").alias("c"))
+    queries = dealt.filter(asked).select("row", "id", "v", "dim", F.lit(True).alias("query"), whole("blocks").alias("b"), F.pmod("h", "chunks").cast("int").alias("c"))
 
     def tile(t: pa.Table) -> pa.Table:
-        ids, query = t.column("id").to_numpy(), t.column("query").to_numpy()
+        row, ids, query = (t.column(c).to_numpy() for c in ("row", "id", "query"))
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        lists = Lists(ids[~query], v[~query])
-        out = [(q, *lists.search(q, v[i], k)) for i, q in zip(np.nonzero(query)[0], ids[query].tolist(), strict=True)]
-        lengths = [len(x[1]) for x in out]
-        some = lambda at: np.concatenate([x[at] for x in out]) if out else np.zeros(0, np.int64)
-        return pa.table({"query_id": np.repeat(np.array([x[0] for x in out], np.int64), lengths), "vec_id": some(1), "score": some(2)})
+        lists = Lists(ids[~query], v[~query], row[~query])
+        out = [(i, *lists.search(row[i], v[i], k)) for i in np.nonzero(query)[0].tolist()]
+        at = np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out])
+        some = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
+        return pa.table({"query": row[at], "query_id": ids[at], "vec_id": some(1), "score": some(2)})
 
-    found = candidates.unionByName(queries).groupBy("dim", "b", "c").applyInArrow(tile, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # the work is in the tiles, not in the bytes, so the number of tasks follows the tiles
+    n = counts.agg(F.sum(F.col("blocks") * F.col("chunks"))).first()[0] or 1
+    tiles = candidates.unionByName(queries).repartition(int(min(n, MOST_TASKS)), "dim", "b", "c")
+    found = tiles.groupBy("dim", "b", "c").applyInArrow(tile, "query bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

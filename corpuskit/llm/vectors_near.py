@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from corpuskit.llm._shared import written
 from corpuskit.llm.components import components
 
-#: About so many vectors make a block.
-BLOCK = 1024
+#: About so many vectors make a block; tiles are dealt to at most so many tasks.
+BLOCK, MOST_TASKS = 2048, 20_000
 
 
 def usable(vector: str) -> "F.Column":
@@ -39,6 +39,8 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of x and rows of y whose cosine is at least the threshold, some rows of x at a time."""
+    # each row by its largest component first, so that no square overflows or vanishes
+    x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
     norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, kx, ex), (qy, sy, ky, ey) = quantise(x / norm_x[:, None]), quantise(y / norm_y[:, None])
     exact = x.shape[1] * 127 * 127 < 1 << 24
@@ -76,27 +78,31 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, up: list[int]) -> None:
             up[max(p, q)] = min(p, q)
 
 
+def numbered(df: DataFrame, *columns, name: str) -> DataFrame:
+    """The columns with a number of each row's own, written: rows that repeat a key stay apart, and numbers stay the same."""
+    return written(df.select(F.monotonically_increasing_id().alias("row"), *columns), name)
+
+
 def near_vectors(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
-    """key, n_links, component_id, kept: one row for each key of df.
+    """key, n_links, component_id, kept: one row for each row of df.
 
     Two vectors link when their labels are equal and not null, their lengths are equal and their
     cosine is at least the threshold. Vectors that are null, empty, zero or hold a null or
-    non-finite component link with nothing, as do null labels. Rows that repeat a key count as one,
-    the greatest by (label, vector); rows with a null key are left out of linking and returned with
-    no links, component null and kept false. No rows: none. A tile returns counts and one link to
+    non-finite component link with nothing, as do null labels. Rows that repeat a key are vectors of
+    their own, which may link with each other; rows with a null key are left out of linking and
+    returned with no links, component null and kept false. No rows: none. A tile returns counts and one link to
     its smallest member for each vector, never its pairs; a label of any size becomes more tiles.
     """
-    one = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(F.struct(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))).alias("r"))
-    rows = written(one.select("id", "r.label", "r.v"), "vectors")
-    good = rows.filter(F.col("label").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    rows = numbered(df, F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"), name="vectors")
+    good = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
     counts = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    good = good.join(counts, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    good = good.join(counts, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     tiles = good.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    tiles = tiles.select("id", "v", "label", "dim", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tiles = tiles.select("row", "v", "label", "dim", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def tile(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+        ids, own = t.column("row").to_numpy(), t.column("own").to_numpy()
         v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         ids, own, v = ids[order], own[order], v[order]
@@ -113,12 +119,17 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", ve
         for k in range(len(ids)):
             top[k] = top[up[k]]
         some = links > 0
-        return pa.table({"id": ids[some], "links": links[some], "root": ids[top[some]]})
-
-    found = written(tiles.groupBy("label", "dim", "i", "j").applyInArrow(tile, "id bigint, links bigint, root bigint"), "tiles")
-    total = found.groupBy("id").agg(F.sum("links").alias("n"))
-    together = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("id").join(total, "id", "left").join(together, F.col("id") == F.col("node"), "left")
-    out = out.select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = out.select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(df.filter(F.col(key).isNull()).select(F.lit(None).cast("bigint").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"), F.lit(False).alias("kept")))
+        return pa.table({"row": ids[some], "links": links[some], "root": ids[top[some]]})
+
+    # the work is in the products, not in the bytes, so the number of tasks follows the tiles
+    n = counts.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    tiles = tiles.repartition(int(min(max(n, 1), MOST_TASKS)), "label", "dim", "i", "j")
+    found = written(tiles.groupBy("label", "dim", "i", "j").applyInArrow(tile, "row bigint, links bigint, root bigint"), "tiles")
+    total = found.groupBy("row").agg(F.sum("links").alias("n"))
+    together = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
+    linked_rows = rows.select("row", "id").join(together, F.col("row") == F.col("node"))
+    least = linked_rows.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least"))
+    named = together.join(least, F.col("component") == F.col("c")).select("node", "least")
+    out = rows.select("row", "id").join(total, "row", "left").join(named, F.col("row") == F.col("node"), "left")
+    out = out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -21,24 +21,35 @@ def good(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
 
+def brute_links(rows):
+    """(vec_id, links, smallest id reachable) of every row; rows that repeat an id are vectors of their own."""
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    real = {k: np.array(v, float) for k, (i, v, l, *_) in enumerate(rows) if i is not None and good(v) and l is not None and any(v)}
+    links = {k: {j for j in real if j != k and rows[k][2] == rows[j][2] and len(real[k]) == len(real[j]) and cos(real[k], real[j]) >= 0.93} if k in real else set() for k in range(len(rows))}
+    label = [r[0] for r in rows]
+    for _ in rows:
+        label = [min([label[k], *(label[j] for j in links[k])]) if links[k] else label[k] for k in range(len(rows))]
+    return [(r[0], len(links[k]), label[k], r[0] is not None and label[k] == r[0]) for k, r in enumerate(rows)], links
+
+
 def test_near_vectors(spark):
     rows = vectors()
-    one = {i: (v, l) for i, v, l, _ in rows}
-    ids = sorted(one)
-    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
-    real = {i: np.array(v, float) for i, (v, l) in one.items() if good(v) and l is not None and any(v)}
-    links = {i: {j for j in real if j != i and one[i][1] == one[j][1] and len(real[i]) == len(real[j]) and cos(real[i], real[j]) >= 0.93} if i in real else set() for i in ids}
-    label = {i: i for i in ids}
-    for _ in ids:
-        label = {i: min([label[i], *(label[j] for j in links[i])]) for i in ids}
+    # one id with three vectors, two of which link other groups
+    rows += [(9000, rows[0][1], rows[0][2], "x"), (9000, rows[1][1], rows[1][2], "x"), (9000, [-x for x in rows[0][1]], rows[0][2], "x"), (None, [1.0] * 8, 1, "x")]
+    want, links = brute_links(rows)
     for block in (16, 1024):
-        got = near_vectors(spark.createDataFrame([*rows, (None, [1.0] * 8, 1, "x")], SCHEMA), block=block).collect()
-        assert len(got) == len(ids) + 1
-        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (len(links[i]), label[i], label[i] == i) for i in ids}
+        got = near_vectors(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(map(len, links.values())) > 100
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lengths_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e160, 2e160], 1), (2, [1e-170, 2e-170], 1), (3, [1.0, 2.0], 1), (4, [1.0, -2.0], 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     for scale in (1e-20, 1.0, 1e20):
@@ -52,17 +63,19 @@ def test_bounds_hold():
 
 
 def brute(rows, k, every, scale):
-    one = {i: np.floor(scale * np.array(v, float)).astype(np.int64) for i, v, *_ in rows if i is not None and good(v)}
+    one = [(i, np.floor(scale * np.array(v, float)).astype(np.int64)) for i, v, *_ in rows if i is not None and good(v)]
     out = []
-    for q in sorted(i for i in one if i % every == 0):
-        scored = sorted((-int(one[q] @ one[i]), i) for i in one if i != q and len(one[i]) == len(one[q]))[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
-    return out
+    for at, (q, x) in enumerate(one):
+        if q % every == 0:
+            scored = sorted((-int(x @ y), i) for j, (i, y) in enumerate(one) if j != at and len(x) == len(y))[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("scale", [1, 256])
 def test_top_k(spark, scale):
     rows = vectors()
+    rows += [(40, [-x for x in rows[40][1]], 0, "x"), (7, rows[9][1], 0, "x"), (40, rows[40][1], 0, "x")]
     df = spark.createDataFrame([*rows, (None, [1.0] * 8, 1, "x")], SCHEMA)
     got = top_k(df, every=20, scale=scale, block=40, chunk=3)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 20, scale)
@@ -77,6 +90,9 @@ def test_lists_stop_early_and_right():
         ids, scores = lists.search(9, q, 5)
         want = sorted((-int(rows[i] @ q), i * 3) for i in range(3000) if i != 3)[:5]
         assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+    lists.scored = 0
+    lists.search(9, np.array([5, 1, 0, 0]), 5)
+    assert lists.scored < 1500  # the bound ends the reading
 
 
 def test_components(spark):
