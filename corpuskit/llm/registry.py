@@ -106,11 +106,11 @@ ORACLES = {
             JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
             WHERE 100 * p.shared >= 90 * (x.n + y.n - p.shared)
         ), reach AS (
-            SELECT doc_id AS node, doc_id AS at FROM documents
+            SELECT doc_id AS node, doc_id AS met FROM documents
             UNION
-            SELECT reach.node, links.b FROM reach JOIN links ON reach.at = links.a
+            SELECT reach.node, links.b FROM reach JOIN links ON reach.met = links.a
         ), c AS (
-            SELECT node, min(at) AS component_id FROM reach GROUP BY node
+            SELECT node, min(met) AS component_id FROM reach GROUP BY node
         )
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
