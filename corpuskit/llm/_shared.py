@@ -69,7 +69,7 @@ def dropped(spark: SparkSession, held: list[str]) -> None:
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Batches that go to Python hold about `most` bytes, or one longer row, instead of Spark's 64 MB; a session that sets its own keeps it."""
     if spark.conf.get(BATCH, "67108864b") == "67108864b":
         spark.conf.set(BATCH, str(most))

@@ -34,7 +34,7 @@ from corpuskit.llm.words import Memory, gathered, letters_and_marks, listed, par
 #: Fixed value: the pattern that byte-level tokenizers split a text with before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one generation of a worker's memory, and pairs of tokens that it remembers; results do not depend on them.
-CACHE = 200_000
+CACHE = 150_000
 NEVER = 1 << 60
 
 

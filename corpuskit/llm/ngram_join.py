@@ -37,7 +37,7 @@ from corpuskit.llm.words import listed, slices, split
 #: Up to so many sets that pass the first filter are sent to the scan as a broadcast list of ids (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A shingle that more than so many sets hold in their prefixes is parted further before its pairs are made.
-HOT = 100
+HOT = 2000
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 

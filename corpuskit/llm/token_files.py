@@ -27,7 +27,7 @@ from corpuskit.llm.bpe import byte_alphabet
 from corpuskit.llm.words import MARKS, Memory, gathered, letters_and_marks, parts_of, slices, split
 
 #: Words of one generation of a worker's memory; two are kept, and results do not depend on them.
-CACHE = 200_000
+CACHE = 150_000
 #: The last Latin letter that is one character, whose lower case is one as well.
 LATIN = "\u024f"
 #: What the vocabulary files that this serves do to a text before their model.

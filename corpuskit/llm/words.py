@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split together; a longer text stands alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Longer words are never remembered.
 LONGEST = 64
 
