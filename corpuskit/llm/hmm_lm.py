@@ -2,15 +2,17 @@
 
 Latent states emit classes of words. The most frequent words are a class each; every other word, known
 or not, falls into one of TAIL classes by its last letters, and inside a class a known word has its
-share of the class's count, unknown words together a share that the words seen once make likely.
-So P(word | state) = P(class | state) * P(word | class), which sums to one over the known words and an
-unknown one for each class; the end of a text is a class as well.
+share of the class's count. Unknown words share what the words seen once make likely, evenly among as
+many unknown words as the words seen once and twice make likely (Chao's estimate). So P(word | state) =
+P(class | state) * P(word | class), which sums to one over the known words and that many unknown ones
+in each class; the end of a text is a class as well.
 
 Baum-Welch: the states start from all training documents, parted by the words that occur together in
 them; then each round runs the scaled forward and backward recursions over every training document,
 kept as classes of its words, and the expected counts of transitions and emissions are summed across
-partitions. A text's score is its exact likelihood by the
-forward recursion. Texts are batched by length, so one step of the recursion serves many texts.
+partitions, until a round gains less than GAIN. Rounds run in single precision, as their emissions are
+taken relative to the likeliest state's; a text's score is its exact likelihood by the forward
+recursion in double precision. Texts are batched by length, so one step of the recursion serves many texts.
 
 Counts of words cover all training documents. Only the LOOKUP most frequent are broadcast; a text's
 other words are joined with their counts by a shuffle.
@@ -27,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm._shared import written
+from corpuskit.llm._shared import dropped, in_arrow, written
+from corpuskit.llm.words import listed, slices, split
 
 STATES, HEAD, TAIL, LOOKUP = 6, 20_000, 4096, 200_000
-#: Rounds over all training documents.
-ROUNDS = 14
+#: Rounds over all training documents: at most so many, and none after one that gains less than GAIN log10 a token.
+ROUNDS, GAIN = 14, 0.002
 #: Features of a text for the start: of the head's words and of the tail's classes.
 WORDS, TAILS = 192, 64
-#: Words of the tail that a worker remembers; steps of a recursion from one scaling to the next, at most.
-KEPT, STEPS = 150_000, 8
+#: Steps of a recursion from one scaling to the next, at most.
+STEPS = 4
 #: Words that a task counts before it passes its counts on; tokens whose recursions run together.
 DISTINCT, TOKENS = 250_000, 300_000
 #: Weight, in tokens, of the corpus-wide class frequencies in a state's.
@@ -48,13 +51,7 @@ def tail_class(word: bytes) -> int:
 
 
 class Classes(dict):
-    """Word to class: the head's own, else by its last letters."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.first + tail_class(word)
-        if len(self) < self.first + KEPT:
-            self[word] = found
-        return found
+    """The head's words to their classes; any other word has one by its last letters."""
 
     def __init__(self, head: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(head))
@@ -62,17 +59,20 @@ class Classes(dict):
         self.first, self.end = len(head), len(head) + TAIL
 
     def __reduce__(self):
-        return Classes, (sorted((w for w, k in self.items() if k < self.first), key=self.get),)
-
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        out[-1] = self.end
-        return out
+        return Classes, (sorted(self, key=self.get),)
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        first, get = self.first, self.get
+        return np.fromiter((first + tail_class(w) if (k := get(w)) is None else k for w in words), np.int32, len(words))
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return raw.lower().split() if raw else []  # of bytes: ASCII letters and white space only
+    def sequences(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]]:
+        """Slices of texts: (first row, the classes of each text and its end, starts and codes of its words, the distinct words)."""
+        for low, n in slices(texts):
+            starts, codes, words = split(texts.slice(low, n), lower=True)
+            words = listed(words)
+            flat = np.insert(self.of(words)[codes] if len(words) else np.zeros(0, np.int32), starts[1:], self.end)
+            ends = (starts + np.arange(n + 1)).tolist()
+            yield low, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], starts, codes, words
 
 
 class Batch:
@@ -94,7 +94,7 @@ class Batch:
     def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """The scaled states' probabilities (states by places), and the scales, 1 where there is none."""
         alpha = model.emit.take(self.seen, 1)
-        scale = np.ones(len(self.seen))
+        scale = np.ones(len(self.seen), alpha.dtype)
         move, start, last = np.ascontiguousarray(model.move.T), self.start.tolist(), None
         for low, high, scaled in zip(start, start[1:], self.scaled, strict=False):
             a = alpha[:, low:high]
@@ -108,11 +108,12 @@ class Batch:
         """log10 likelihood of each sequence, in the order they came in."""
         _, scale = self.forward(model)
         out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.row, np.log10(scale), len(self.order))
+        out[self.order] = np.bincount(self.row, np.log10(scale) + model.most[self.seen], len(self.order))
         return out
 
     def expect(self, model: Model, counts: Counts) -> None:
         alpha, scale = self.forward(model)
+        counts.value += float(np.log10(scale).sum(dtype=float) + model.most[self.seen].sum())
         ahead = model.emit.take(self.seen, 1)
         ahead /= scale
         beta, start = np.ones_like(alpha), self.start.tolist()
@@ -130,15 +131,26 @@ class Batch:
 
 
 class Model:
-    """first: of each state at the start; move: from state to state; emit: of each class in each state."""
+    """first: of each state at the start; move: from state to state; emit: of each class in each state, as
+    a part of what the likeliest state has, whose log10 is in most."""
 
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.first, self.move, self.emit = first, move, emit
+        self.first, self.move = first, move
+        most = emit.max(0)
+        self.emit, self.most = emit / most, np.log10(most)
+
+    def single(self) -> Model:
+        """In single precision, for rounds of training."""
+        out = object.__new__(Model)
+        out.first, out.move, out.emit, out.most = self.first.astype(np.float32), self.move.astype(np.float32), self.emit.astype(np.float32), self.most
+        return out
 
 
 class Counts:
     def __init__(self, states: int, classes: int):
         self.first, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
+        #: The log10 likelihood of what was counted.
+        self.value = 0.0
 
     def model(self, overall: np.ndarray) -> Model:
         """The maximising parameters, with a little of the overall class frequencies in every state."""
@@ -172,42 +184,44 @@ def count_words(docs: DataFrame) -> DataFrame:
             return batch
 
         for part in parts:
-            for raw in part.column("raw"):
-                found.update(words_of(raw.as_py()))
-                found[END] += 1
+            found[END] += part.num_rows
+            for low, n in slices(part.column("raw")):
+                _, codes, words = split(part.column("raw").slice(low, n), lower=True)
+                found.update(dict(zip(listed(words), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
                 if len(found) > DISTINCT:
                     yield out()
         yield out()
 
-    return docs.select("raw").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return in_arrow(docs.select("raw"), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Language:
     """Everything that scoring needs on the executors, of bounded size: HEAD, TAIL and LOOKUP."""
 
-    def __init__(self, tokens: int, types: int, lookup: dict[bytes, int], head: list[bytes], sums: np.ndarray, once: np.ndarray, ends: int):
+    def __init__(self, tokens: int, types: int, lookup: dict[bytes, int], head: list[bytes], sums: np.ndarray, once: np.ndarray, twice: np.ndarray, ends: int):
         self.tokens, self.types, self.lookup, self.ends = tokens, types, lookup, ends
         self.classes = Classes(head)
-        #: Of each tail class: the count of its known words, and the weight of unknown ones.
+        #: Of each tail class: the count of its known words, the weight of all unknown ones, and of each.
         self.sums, self.unknown = sums, once + 0.5
+        self.novel = self.unknown / (1 + once * once / (2 * (twice + 1)))
         known = np.array([lookup[w] for w in head], float)
         overall = np.concatenate([known, sums + self.unknown, [ends + 0.5]])
         self.overall = overall / overall.sum()
         self.model: Model | None = None
+        self.rounds = 0
 
 
-def _classes(docs: DataFrame, language: Language) -> DataFrame:
+def _classes(docs: DataFrame, language: Language, held: list[str]) -> DataFrame:
     """classes: of each document, those of its words and its end, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(language.classes)
     kind = np.min_scalar_type(language.classes.end)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for low in range(0, part.num_rows, 1000):
-                found = [shared.value.sequence(words_of(raw.as_py())).astype(kind).tobytes() for raw in part.column("raw")[low : low + 1000]]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["classes"])
+            for _, found, *_ in shared.value.sequences(part.column("raw")):
+                yield pa.RecordBatch.from_arrays([pa.array([s.astype(kind).tobytes() for s in found], pa.binary())], names=["classes"])
 
-    return written(docs.select("raw").mapInArrow(run, "classes binary"), "classes")
+    return written(in_arrow(docs.select("raw"), run, "classes binary"), "classes", held)
 
 
 def _summed(texts: DataFrame, language: Language, given: object, size: int, count: Callable[[object, list[np.ndarray], Counts], None]) -> Counts:
@@ -220,11 +234,11 @@ def _summed(texts: DataFrame, language: Language, given: object, size: int, coun
         for part in parts:
             count(shared.value, [np.frombuffer(raw.as_py(), kind) for raw in part.column("classes")], counts)
         some = np.nonzero(counts.emit.any(0))[0]
-        rows = np.concatenate([counts.emit[:, some].T, counts.move, counts.first[None]])
-        place = np.concatenate([some, n + np.arange(size + 1)])
+        rows = np.concatenate([counts.emit[:, some].T, counts.move, counts.first[None], np.full((1, size), counts.value)])
+        place = np.concatenate([some, n + np.arange(size + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *(pa.array(rows[:, k]) for k in range(size))], names=["place", *columns])
 
-    got = texts.mapInArrow(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
+    got = in_arrow(texts, run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
     counts = Counts(size, n)
     for row in got.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).toLocalIterator():
         values = np.array(row[1:])
@@ -232,8 +246,10 @@ def _summed(texts: DataFrame, language: Language, given: object, size: int, coun
             counts.emit[:, row["place"]] = values
         elif row["place"] < n + size:
             counts.move[row["place"] - n] = values
-        else:
+        elif row["place"] == n + size:
             counts.first = values
+        else:
+            counts.value = values[0]
     shared.destroy()
     return counts
 
@@ -245,7 +261,7 @@ def _expected(texts: DataFrame, language: Language) -> Counts:
         for _, batch in batches(sequences):
             batch.expect(model, counts)
 
-    return _summed(texts, language, language.model, STATES, count)
+    return _summed(texts, language, language.model.single(), STATES, count)
 
 
 def features(sequences: list[np.ndarray], first: int) -> np.ndarray:
@@ -270,7 +286,7 @@ def _together(texts: DataFrame, first: int, kind: np.dtype) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(sums.ravel())], names=["place", "x"])
 
     out = np.zeros(size * size)
-    for place, x in texts.mapInArrow(run, "place bigint, x double").groupBy("place").agg(F.sum("x")).toLocalIterator():
+    for place, x in in_arrow(texts, run, "place bigint, x double").groupBy("place").agg(F.sum("x")).toLocalIterator():
         out[place] = x
     return out.reshape(size, size)
 
@@ -305,37 +321,46 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Language, DataFrame]:
     """A language model of docs (raw: the UTF-8 of a text, null: empty), and the table of all words' counts."""
     vocabulary = written(count_words(docs), "vocabulary")
     totals = vocabulary.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("word") == END, F.col("c")))).first()
-    # the most frequent words by a threshold on their counts, so that no task sends words beyond it
+    # the most frequent words by a threshold on their counts, so that no task sends words beyond it; of the
+    # step of counts at the threshold, those with the smallest hashes
     words = vocabulary.filter(F.octet_length("word") > 0).withColumn("step", F.floor(F.log2("c") * 64))
-    steps, room, least = sorted(map(tuple, words.groupBy("step").count().collect()), reverse=True), LOOKUP, None
+    steps, room, least, part = sorted(map(tuple, words.groupBy("step").count().collect()), reverse=True), LOOKUP, None, 0.0
     for step, n in steps:
+        least, part = step, min(1.0, room / n)
         room -= n
-        if room < 0:
+        if room <= 0:
             break
-        least = step
-    top = [] if least is None else [(bytes(r[0]), r[1]) for r in words.filter(F.col("step") >= least).select("word", "c").collect()]
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    top = [] if least is None else [(bytes(r[0]), r[1]) for r in words.filter((F.col("step") > least) | (F.col("step") == least) & (share < part)).select("word", "c").collect()]
     top.sort(key=lambda x: (-x[1], x[0]))
     head = [w for w, _ in top[:HEAD]]
     shared = docs.sparkSession.sparkContext.broadcast(set(head) | {END})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, once = np.zeros(TAIL), np.zeros(TAIL)
+        sums = np.zeros((3, TAIL))
         for part in parts:
-            for word, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for word, c in zip(listed(part.column(0)), part.column(1).to_pylist(), strict=True):
                 if word not in shared.value:
                     k = tail_class(word)
-                    sums[k] += c
-                    once[k] += c == 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL), pa.int64()), pa.array(sums), pa.array(once)], names=["k", "total", "once"])
-
-    sums, once = np.zeros(TAIL), np.zeros(TAIL)
-    for row in vocabulary.select("word", "c").mapInArrow(run, "k bigint, total double, once double").groupBy("k").agg(F.sum("total"), F.sum("once")).collect():
-        sums[row[0]], once[row[0]] = row[1], row[2]
-    language = Language(int(totals[0] or 0), int(totals[1]), dict(top), head, sums, once, int(totals[2] or 0))
-    texts = _classes(docs, language)
-    language.model = _start(texts, language)
+                    sums[0, k] += c
+                    if c <= 2:
+                        sums[c, k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL), pa.int64()), *map(pa.array, sums)], names=["k", "total", "once", "twice"])
+
+    sums = np.zeros((3, TAIL))
+    for row in in_arrow(vocabulary.select("word", "c"), run, "k bigint, total double, once double, twice double").groupBy("k").agg(F.sum("total"), F.sum("once"), F.sum("twice")).collect():
+        sums[:, row[0]] = row[1:]
+    language, held = Language(int(totals[0] or 0), int(totals[1]), dict(top), head, *sums, int(totals[2] or 0)), []
+    texts = _classes(docs, language, held)
+    language.model, before = _start(texts, language), -np.inf
     for _ in range(rounds):
-        language.model = _expected(texts, language).model(language.overall)
+        counts = _expected(texts, language)
+        language.model, now = counts.model(language.overall), counts.value / max(language.tokens, 1)
+        language.rounds += 1
+        if now - before < GAIN:
+            break
+        before = now
+    dropped(docs.sparkSession, held)
     return language, vocabulary
 
 
@@ -356,33 +381,31 @@ def score(docs: DataFrame, language: Language, vocabulary: DataFrame) -> DataFra
         from pyspark import TaskContext
 
         own, number = shared.value, TaskContext.get().partitionId() << 34
-        lookup, first, tails = own.lookup, own.classes.first, own.unknown + own.sums
+        first, tails = own.classes.first, own.unknown + own.sums
         # log10 of a head word's share of its class is 0; of a tail class, what all its words have in common
-        common, unknown = -np.log10(tails), np.log10(own.unknown)
+        common, novel = -np.log10(tails), np.log10(own.novel)
         end = float(np.log10(own.ends + 1))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("unknown", pa.float64())]))]
         for part in parts:
-            for low in range(0, part.num_rows, 4000):
-                piece = part.slice(low, 4000)
-                rows, sequences = [], []
-                for raw in piece.column(len(kept)):
-                    words = words_of(raw.as_py())
-                    s = own.classes.sequence(words)
-                    sequences.append(s)
-                    tail = s[:-1][s[:-1] >= first] - first
-                    counts = np.fromiter((lookup.get(w, 0) for w in words), np.int64, len(words))
-                    known = counts > 0
-                    rest = Counter(w for w, c in zip(words, counts.tolist(), strict=True) if not c)
-                    model = float(common[tail].sum() + np.log10(counts[known & (s[:-1] >= first)]).sum())
-                    base = float(np.log10(counts[known] + 1).sum()) + end - bottom * (len(words) + 1)
-                    rows.append([number, len(words) + 1, int(known.sum()) + (own.ends > 0), base, model, [{"word": w, "n": n, "unknown": float(unknown[tail_class(w)])} for w, n in rest.items()]])
+            for low, sequences, starts, codes, words in own.classes.sequences(part.column(len(kept))):
+                classes = own.classes.of(words)
+                seen = np.fromiter((own.lookup.get(w, 0) for w in words), np.int64, len(words))
+                with np.errstate(divide="ignore"):
+                    share = np.where(classes < first, 0.0, common[np.maximum(classes - first, 0)] + np.where(seen > 0, np.log10(seen), 0.0))
+                base = np.where(seen > 0, np.log10(seen + 1), 0.0)
+                rows = []
+                for s, a, b in zip(sequences, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    mine = codes[a:b]
+                    some, times = np.unique(mine[seen[mine] == 0], return_counts=True)
+                    rest = [{"word": words[i], "n": n, "unknown": float(novel[classes[i] - first])} for i, n in zip(some.tolist(), times.tolist(), strict=True)]
+                    rows.append([number, len(s), int((seen[mine] > 0).sum()) + (own.ends > 0), float(base[mine].sum()) + end - bottom * len(s), float(share[mine].sum()), rest])
                     number += 1
                 for places, batch in batches(sequences):
                     for i, value in zip(places, batch.log10(own.model).tolist(), strict=True):
                         rows[i][4] += value
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("unknown", pa.float64())]))]
-                yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=[*kept, "row", "n_tokens", "n_known", "base_score", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([*part.slice(low, len(rows)).columns[: len(kept)], *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=[*kept, "row", "n_tokens", "n_known", "base_score", "score", "rest"])
 
-    first = written(docs.select(*kept, "raw").mapInArrow(run, schema), "scores")
+    first = written(in_arrow(docs.select(*kept, "raw"), run, schema), "scores")
     rest = first.select("row", F.explode("rest").alias("r")).select("row", "r.*")
     met = rest.join(vocabulary.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     more = met.groupBy("row").agg(

@@ -190,7 +190,7 @@ def test_language(spark):
     r = random.Random(2)
     words = {"xx": ["schön", "über", "haus", "und", "ein"], "yy": ["the", "house", "and", "nice", "of"], "zz": ["être", "maison", "et", "dans", "où"]}
     rows = [(i, " ".join(r.choice(words[l]) + r.choice(["", "s", "n"]) for _ in range(r.randrange(4, 40))), l) for i in range(240) for l in [r.choice(list(words))]]
-    df = spark.createDataFrame(rows + [(900, None, "xx"), (901, "12 !? ...", "yy"), (902, "", None), (None, "the house", None), (1, rows[1][1], "xx"), (903, "the " * 30_000, None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows + [(900, None, "xx"), (901, "12 !? ...", "yy"), (902, "", None), (None, "the house", None), (1, rows[1][1], "xx"), (903, "the " * 30_000, None), (904, "½ ² ① Ⅷ", None)], "doc_id long, text string, lang string")
     fold = split_of(__import__("pyspark").sql.functions.col("doc_id"), 4)
     model = langid.train(df.filter(fold != 2))
     got = langid.identify(df.withColumnRenamed("lang", "score"), model)
@@ -198,8 +198,16 @@ def test_language(spark):
     found = {x.doc_id: x for x in got.collect()}
     held = [(i, l) for i, _, l in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(held) > 30 and np.mean([found[i].lang_pred == l for i, l in held]) > 0.97
-    assert {i for i, x in found.items() if x.lang_pred == "und"} == {900, 901, 902} and found[903].lang_pred == found[None].lang_pred == "yy"
+    assert {i for i, x in found.items() if x.lang_pred == "und"} == {900, 901, 902, 904} and found[903].lang_pred == found[None].lang_pred == "yy"
     assert all(0 <= x.score <= 1 for x in found.values())
+    # half and half is flagged and scores low, one language is not
+    say = lambda *ls: " ".join(r.choice(words[l]) + r.choice(["", "s", "n"]) for l in ls for _ in range(60 // len(ls)))
+    mixed = [(0, say("xx", "yy")), (0, say("zz", "yy")), (0, say("xx", "zz")), *((1, say(l)) for l in words for _ in range(3))]
+    flags = langid.identify(spark.createDataFrame(mixed, "pure int, text string"), model).collect()
+    assert all(x.ambiguous == (not x.pure) for x in flags) and max(x.score for x in flags if not x.pure) < min(x.score for x in flags if x.pure)
+    # equal shares go to the smaller name
+    even = langid.Model(["aa", "bb"], np.zeros((langid.BINS, 1)), langid.codewords(2))
+    assert [x.lang_pred for x in langid.identify(spark.createDataFrame([("word",)], "text string"), even).collect()] == ["aa"]
     assert langid.train(df.limit(0)) is None and langid.identify(df, None).filter("lang_pred <> 'und'").count() == 0
     code = langid.codewords(30)
     assert min((code[i] != code[j]).sum() for i in range(30) for j in range(i)) >= 10
@@ -221,6 +229,37 @@ def test_language_model(spark, docs):
     assert all(r.n_known == 0 for r in hmm_lm.score_documents(docs.limit(5), F.lit(False)).collect())
 
 
+def test_scores_against_all_paths(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "HEAD", 3)
+    monkeypatch.setattr(hmm_lm, "LOOKUP", 6)
+    monkeypatch.setattr(hmm_lm, "STATES", 2)
+    r = random.Random(6)
+    texts = [" ".join(r.choice("aa bb cc dd ee ff gg hh Hh ii jjjj".split()) for _ in range(r.randrange(0, 7))) for _ in range(60)] + ["zz qq", "new words", None]
+    docs = spark.createDataFrame([(i, (t or "").encode(), i >= 50) for i, t in enumerate(texts)], "doc_id long, raw binary, held_out boolean").repartition(3)
+    language, vocabulary = hmm_lm.fit(docs.filter("NOT held_out"))
+    assert len(language.lookup) <= 6 and len(language.classes) == 3  # no cliff at a step of counts
+    counts = Counter(w for t in texts[:50] for w in t.lower().split())
+    model, first = language.model, 3
+    emit = model.emit * 10**model.most
+
+    def word(w, state):
+        w = w.encode()
+        if w in language.classes:
+            return emit[state, language.classes[w]]
+        k, c = hmm_lm.tail_class(w), counts[w.decode()]
+        return emit[state, first + k] * (c or language.novel[k]) / (language.sums[k] + language.unknown[k])
+
+    for row in hmm_lm.score(docs, language, vocabulary).collect():
+        words = (texts[row.doc_id] or "").lower().split()
+        total = 0.0
+        for path in np.ndindex(*[2] * (len(words) + 1)):
+            p = model.first[path[0]] * np.prod([model.move[a, b] for a, b in zip(path, path[1:], strict=False)])
+            total += p * np.prod([word(w, z) for w, z in zip(words, path, strict=False)]) * emit[path[-1], language.classes.end]
+        assert abs(np.log10(total) - row.score) < 1e-9, texts[row.doc_id]
+    # what a class leaves to unknown words is not more than the estimated number of them can have
+    assert (language.novel <= language.unknown + 1e-12).all() and (language.novel[language.sums > 20] < 1.5).all()
+
+
 def test_states_start_from_all_documents(spark):
     # long texts, and copies of one text that come first in order
     r = random.Random(4)
@@ -241,11 +280,15 @@ def test_recursions_against_all_paths():
     got = hmm_lm.Batch(sequences).log10(model)
     counts = hmm_lm.Counts(3, 5)
     hmm_lm.Batch(sequences).expect(model, counts)
+    rough = hmm_lm.Counts(3, 5)
+    hmm_lm.Batch(sequences).expect(model.single(), rough)
+    assert np.allclose(rough.emit, counts.emit, rtol=1e-4) and np.allclose(rough.move, counts.move, rtol=1e-4) and abs(rough.value - got.sum()) < 1e-4 and abs(counts.value - got.sum()) < 1e-9
+    chances = model.emit * 10**model.most
     move, emit = np.zeros((3, 3)), np.zeros((3, 5))
     for s, value in zip(sequences, got, strict=True):
         paths = {}
         for path in np.ndindex(*[3] * len(s)):
-            p = model.first[path[0]] * np.prod([model.emit[z, x] for z, x in zip(path, s, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(path, path[1:], strict=False)])
+            p = model.first[path[0]] * np.prod([chances[z, x] for z, x in zip(path, s, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(path, path[1:], strict=False)])
             paths[path] = p
         total = sum(paths.values())
         assert abs(np.log10(total) - value) < 1e-9
