@@ -208,17 +208,15 @@ def kept_text(page: Page, marginals: np.ndarray) -> str:
     """Main text: kept runs, joined inside a block, blocks joined by one space."""
     blocks, held = [], []
     last = None
-    kinds, parents = page.kind, page.parent
-
-    def block_of(i: int) -> int:
-        while kinds[i]:
-            i = parents[i]
-        return i
+    kinds, block_of = page.kind, list(range(len(page.nodes)))
+    for i, p in enumerate(page.parent):
+        if kinds[i]:
+            block_of[i] = block_of[p]
 
     for i, (node, p, _) in enumerate(page.nodes):
         if isinstance(node, str):
             if marginals[i, MAIN] > 0.5 and page.nodes[p][0].tag not in RAW:
-                block = block_of(p)
+                block = block_of[p]
                 if block != last:
                     blocks.append("".join(held))
                     held, last = [], block

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 #: Fixed values of HTML: elements without content; raw-text elements; what an element's start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,7 +24,7 @@ CLOSES = {
 STRUCTURAL = BLOCKS | frozenset("html body head li dt dd tr td th thead tbody tfoot caption br option select button label legend textarea iframe object video audio canvas svg noscript template title".split())
 
 # Without backtracking: a tag that has a > somewhere behind it is always read in one go.
-TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"']){0,2000}+)>|<[!?][^>]*+>", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
@@ -44,14 +45,64 @@ class Node:
         return ""
 
 
+#: Elements that a paragraph may hold open, and the paragraph itself.
+RUNNING = frozenset("b i em strong a span u small font p".split())
+
+
+class Open:
+    """The open elements, outermost first, and at which places those of each tag are; so that no walk is needed to find one."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.others = [root], {}, [0]
+
+    def add(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in RUNNING:
+            self.others.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def close(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            gone = self.nodes.pop()
+            self.places[gone.tag].pop()
+            if self.others[-1] == len(self.nodes):
+                self.others.pop()
+
+    def end_tag(self, tag: str) -> None:
+        at = self.last(tag)
+        # a table's cells end nothing outside their own table
+        if at > 0 and not (tag in BLOCKS and self.last("table") > at):
+            self.close(at)
+
+    def make_way(self, tag: str) -> None:
+        """End what the start of a tag ends."""
+        if tag in BLOCKS:
+            if self.last("p") > self.others[-1]:
+                self.close(self.last("p"))
+        elif tag in CLOSES:
+            closed, within = CLOSES[tag]
+            border = max(map(self.last, within))
+            inside = [p[i] for t in closed if (p := self.places.get(t)) and (i := bisect_right(p, border)) < len(p)]
+            if inside:
+                self.close(min(inside))
+        if self.nodes[-1].tag == "head" and (tag in BLOCKS or tag not in HEAD and tag not in CLOSES):
+            self.close(len(self.nodes) - 1)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Never fails: stray end tags are passed over, open elements end where HTML lets them."""
-    root = node = Node("#root", "", None)
-    at, n = 0, len(page)
+    """The tree of a page, in time linear in its length however deep it is. Never fails: stray end tags are passed over, open elements end where HTML lets them."""
+    root = Node("#root", "", None)
+    at, n, path = 0, len(page), Open(root)
     closing, comment = page.rfind(">"), page.find("<!--")
     while at < n:
         # with no > ahead there is no tag ahead
         m = TOKEN.search(page, at) if at <= closing or comment >= 0 and page.find("<!--", at) >= 0 else None
+        node = path.nodes[-1]
         if m is None:
             node.parts.append(page[at:])
             break
@@ -62,33 +113,10 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = node
-            while found is not root and found.tag != tag:
-                # a table cell or list ends nothing outside its own table
-                found = found.parent if not (found.tag == "table" and tag in BLOCKS) else root
-            if found is not root:
-                node = found.parent
+            path.end_tag(tag)
             continue
-        if tag in BLOCKS:
-            found = node
-            while found is not root and found.tag in ("b", "i", "em", "strong", "a", "span", "u", "small", "font", "p"):
-                if found.tag == "p":
-                    node = found.parent
-                    break
-                found = found.parent
-        elif tag in CLOSES:
-            closed, within = CLOSES[tag]
-            found, out = node, None
-            while found is not root and found.tag not in within:
-                if found.tag in closed:
-                    out = found
-                found = found.parent
-            if out is not None:
-                node = out.parent
-        elif node.tag == "head" and tag not in HEAD:
-            node = node.parent
-        if node.tag == "head" and tag in BLOCKS:
-            node = node.parent
+        path.make_way(tag)
+        node = path.nodes[-1]
         made = Node(tag, m[3], node)
         node.parts.append(made)
         if tag in VOID or m[3].endswith("/") and tag not in STRUCTURAL:
@@ -98,7 +126,7 @@ def parse(page: str) -> Node:
             made.parts.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        node = made
+        path.add(made)
     return root
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -53,6 +54,17 @@ def test_never_fails():
         text(page)
 
 
+def test_deep_and_long_pages_in_linear_time():
+    n = 20_000
+    began = time.time()
+    for page in ("<div>" * n + "</x>" * n, "<ul>" * n + "<li>x" * n, "<b>" * n + "<div></div>" * n, "<table>" + "<b>" * n + "</div>" * n):
+        parse(page)
+    text("<div>" * n + "word " + "</x>" * n)
+    assert time.time() - began < 20
+    tag = parse("<p " + " ".join(f"a{i}='>'" for i in range(4000)) + ">x</p>").parts[0]
+    assert tag.tag == "p" and tag.attribute("a3999") == ">" and tag.parts == ["x"]
+
+
 def test_frames(spark):
     page = f"<article><p>{LONG}</p></article>"
     df = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, None), (None, "u", "", "y")], "page_id long, url string, html string, text string")
