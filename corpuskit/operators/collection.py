@@ -1,12 +1,13 @@
 """Vector collections: named, persistent tables with insert, update, delete and filtered top-k search.
 
-A collection is a folder of snapshots; a pointer file names the current one. A change writes a new
-snapshot and then moves the pointer, so readers never see half of it.
+A collection is a folder of numbered snapshots. A change writes the next one beside them and renames it
+to its number, so readers see all of it or nothing; the one before stays for readers that still have it.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,31 @@ def metadata_field(key: str) -> Column:
     return F.element_at("metadata", key)
 
 
+def compile_metadata_filter(where: dict | None) -> Column:
+    """compile_filter on metadata, which is kept as text: numbers are compared as numbers, with values that are none counting as missing."""
+
+    class Field:
+        """Picks the typed form of a key by the value that it is compared with."""
+
+        def __init__(self, key: str):
+            self.text = metadata_field(key)
+
+        def of(self, value) -> Column:
+            some = value[0] if isinstance(value, (list, tuple)) and value else value
+            if isinstance(some, bool):
+                return self.text.try_cast("boolean")
+            return self.text.try_cast("double") if isinstance(some, (int, float)) else self.text
+
+    out = F.lit(True)
+    for key, want in (where or {}).items():
+        if key in ("$and", "$or"):
+            out = out & reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), map(compile_metadata_filter, want))
+            continue
+        for op, value in (want if isinstance(want, dict) else {"$eq": want}).items():
+            out = out & compile_filter({key: {op: value}}, lambda k, v=value: Field(k).of(v))
+    return out
+
+
 def _literal(vector) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
@@ -69,7 +95,7 @@ def nearest(documents: DataFrame, vector, k: int = 10, where: Column | None = No
 
 
 def nearest_batch(documents: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", embedding: str = "embedding", query: str = "query_id", vector: str = "query_vector") -> DataFrame:
-    """query, key, score, rank: the k nearest of each query vector.
+    """query, key, score, rank: the k nearest of each query vector; null vectors take no part.
 
     The documents' blocks meet the queries' chunks in tasks that return k rows for each query, by one
     matrix product each; the blocks' winners are then ranked.
@@ -78,6 +104,9 @@ def nearest_batch(documents: DataFrame, queries: DataFrame, k: int = 5, key: str
     import pyarrow as pa
     from pyspark.sql.window import Window
 
+    # vectors that are null or hold nulls are near nothing; only vectors of one length meet
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
+    documents, queries = documents.filter(whole(embedding)), queries.filter(whole(vector))
     sizes = (documents.count() // 8192 + 1, queries.count() // 1024 + 1)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -87,7 +116,7 @@ def nearest_batch(documents: DataFrame, queries: DataFrame, k: int = 5, key: str
 
     def tile(t: pa.Table) -> pa.Table:
         asked, ids = t.column("q").to_numpy(), np.array(t.column("id").to_pylist())
-        v = np.array(t.column("v").to_pylist(), float)
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         x, y = v[asked], v[~asked]
         own, other = ids[asked], ids[~asked]
         if not len(x) or not len(y):
@@ -98,7 +127,7 @@ def nearest_batch(documents: DataFrame, queries: DataFrame, k: int = 5, key: str
         best = np.stack([np.lexsort((other, s))[:k] for s in score])
         return pa.table({"query": np.repeat(own, best.shape[1]), "id": other[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
 
-    found = d.unionByName(q).groupBy("b", "c").applyInArrow(tile, f"query {kind}, id {kind}, score double")
+    found = d.unionByName(q).withColumn("dim", F.size("v")).groupBy("dim", "b", "c").applyInArrow(tile, f"query {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query), F.col("id").alias(key), F.when(F.col("score") < float("inf"), F.col("score")).alias("score"), "rank")
@@ -119,7 +148,8 @@ def deleted(current: DataFrame, ids: DataFrame) -> DataFrame:
 
 def updated(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Rows of current with the non-null fields of changes (id, content, embedding, metadata) in place of theirs; metadata is merged by key."""
-    c = changes.select("id", *(F.col(x).alias(f"__{x}") for x in ("content", "embedding", "metadata")))
+    # of several changes of one id, one counts, so that rows stay as many
+    c = changes.dropDuplicates(["id"]).select("id", *(F.col(x).alias(f"__{x}") for x in ("content", "embedding", "metadata")))
     merged = F.when(F.col("__metadata").isNull(), F.col("metadata")).when(F.col("metadata").isNull(), F.col("__metadata")).otherwise(
         F.map_concat(F.map_filter("metadata", lambda k, v: ~F.array_contains(F.map_keys("__metadata"), k)), F.col("__metadata"))
     )
@@ -138,20 +168,25 @@ class Collection:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _snapshots(self) -> list[int]:
+        """Numbers of the finished snapshots, ascending."""
+        if not self._fs().exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._path(self.root))]
+        return sorted(int(n.removeprefix("snapshot-")) for n in names if n.removeprefix("snapshot-").isdigit())
+
     def _current(self) -> str | None:
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs().exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        found = self._snapshots()
+        return f"snapshot-{found[-1]}" if found else None
 
     def _replace(self, rows: DataFrame) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        rows.select(*schemas.DOCUMENT.names).write.parquet(f"{self.root}/{name}")
-        stream = self._fs().create(self._path(f"{self.root}/CURRENT.new"), True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
-        self._fs().delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs().rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"))
+        made = f"{self.root}/new-{uuid.uuid4().hex}"
+        rows.select(*schemas.DOCUMENT.names).write.parquet(made)
+        found = self._snapshots()
+        if not self._fs().rename(self._path(made), self._path(f"{self.root}/snapshot-{found[-1] + 1 if found else 0}")):
+            raise RuntimeError("the snapshot could not be put in place")
+        for old in found[:-1]:
+            self._fs().delete(self._path(f"{self.root}/snapshot-{old}"), True)
 
     def rows(self) -> DataFrame:
         at = self._current()
@@ -200,4 +235,4 @@ class Collection:
         self._replace(self.rows().limit(0))
 
     def query(self, vector, filters: dict | None = None, top_k: int = 10) -> DataFrame:
-        return nearest(self.rows(), vector, top_k, compile_filter(filters, metadata_field)).select(*schemas.MATCH.names)
+        return nearest(self.rows(), vector, top_k, compile_metadata_filter(filters)).select(*schemas.MATCH.names)

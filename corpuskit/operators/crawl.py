@@ -88,15 +88,16 @@ def http_transport(options: CrawlOptions) -> Transport:
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """Rows of urls that their site's rules allow.
 
-    rules: (domain, agent, path, allow), a row for each line, in no order. Lines for the agent count,
-    or those for * where a site has none for it; the longest path that the URL's path begins with
+    rules: (domain, agent, path, allow), a row for each line, in no order. Lines count whose agent is
+    part of the product token of `agent` (what stands before its first slash), or those for * where a site has none for it; the longest path that the URL's path begins with
     decides, allow before disallow of the same length. Sites without rules allow everything. The rules
     are joined by domain, and Spark broadcasts them where they are small.
     """
     lines = rules.groupBy(F.col("domain").alias("__domain")).agg(F.collect_list(F.struct("agent", "path", "allow")).alias("__lines"))
     path = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    own = F.filter("__lines", lambda x: F.lower(x["agent"]) == agent.lower())
+    product = F.lit(agent.split("/")[0].lower())
+    own = F.filter("__lines", lambda x: (x["agent"] != "*") & (F.length(x["agent"]) > 0) & F.contains(product, F.lower(x["agent"])))
     used = F.when(F.size(own) > 0, own).otherwise(F.filter("__lines", lambda x: x["agent"] == "*"))
     hits = F.filter(used, lambda x: (F.length(x["path"]) > 0) & path.startswith(x["path"]))
     best = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["path"]).alias("n"), x["allow"].alias("allow"))))
@@ -104,6 +105,31 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str
     return joined.filter(F.coalesce(best["allow"], F.lit(True))).select(*urls.columns)
 
 
+def robots_rules(text: str) -> list[tuple[str, str, bool]]:
+    """(agent, path, allow) of a robots.txt: groups begin with one or more agents; comments, other fields and empty disallows count for nothing."""
+    rules, agents, ruled = [], [], False
+    for line in text.splitlines():
+        name, _, value = line.split("#", 1)[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if name == "user-agent":
+            agents, ruled = ([] if ruled else agents) + [value], False
+        elif name in ("allow", "disallow"):
+            ruled = True
+            rules += [(a, value, name == "allow") for a in agents if value]
+    return rules
+
+
+def robots_table(files: DataFrame, domain: str = "domain", text: str = "text") -> DataFrame:
+    """The rules of robots.txt files (domain, text), as robots_allowed takes them."""
+
+    @F.arrow_udf("array<struct<agent: string, path: string, allow: boolean>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [[dict(zip(("agent", "path", "allow"), r, strict=True)) for r in robots_rules(t or "")] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("agent", pa.string()), ("path", pa.string()), ("allow", pa.bool_())])))
+
+    return files.select(F.col(domain).alias("domain"), F.explode(run(F.col(text))).alias("r")).select("domain", "r.*")
+
+
 def politeness_gaps(requests: DataFrame, host: str, ts: str, *tie: str) -> DataFrame:
     """requests with the microseconds since the host's request before."""
     w = Window.partitionBy(host).orderBy(ts, *tie)
@@ -177,8 +203,8 @@ class Crawl:
             links = level.select("ord", F.posexplode("links").alias("__at", "url"))
             links = links.groupBy("url").agg(F.min(F.struct("ord", "__at")).alias("__first")).join(self.visited, "url", "left_anti")
             # places in order: the parent's, then the link's own
-            frontier = links.select("url", F.lit(depth + 1).alias("depth"), (F.col("__first.ord") * 1_000_000 + F.col("__first.__at")).alias("ord"))
-            frontier = written(frontier.withColumn("ord", rank_in_order(frontier, "ord")), "frontier")
+            frontier = links.select("url", F.lit(depth + 1).alias("depth"), rank_in_order(links, "__first").alias("ord"))
+            frontier = written(frontier, "frontier")
             if frontier.isEmpty():
                 break
             depth += 1

@@ -1,6 +1,6 @@
 import zipfile
 
-from corpuskit.operators.crawl import Crawl, CrawlOptions, corpus_transport, robots_allowed, scrape_many
+from corpuskit.operators.crawl import Crawl, CrawlOptions, corpus_transport, robots_allowed, robots_table, scrape_many
 from corpuskit.sources.docx import read_documents
 from corpuskit.sources.sinks import CSV, write_csv, write_markdown
 
@@ -30,7 +30,10 @@ def test_lists_and_robots(spark):
     rules = spark.createDataFrame([(S, "*", "/b", False), (S, "*", "/b/ok", True), (S, "bot", "/", False), ("https://t", "*", "", False)], "domain string, agent string, path string, allow boolean")
     asked = spark.createDataFrame([(f"{S}/a",), (f"{S}/b",), (f"{S}/b/ok/1",), ("https://t/b",), ("https://u/b",)], "url string")
     assert {r.url for r in robots_allowed(asked, rules).collect()} == {f"{S}/a", f"{S}/b/ok/1", "https://t/b", "https://u/b"}
-    assert {r.url for r in robots_allowed(asked, rules, "Bot").collect()} == {"https://t/b", "https://u/b"}
+    assert {r.url for r in robots_allowed(asked, rules, "Bot/2.0 (of no one)").collect()} == {"https://t/b", "https://u/b"}
+    files = spark.createDataFrame([(S, "# all\nUser-agent: *\nDisallow: /b # not b\nAllow: /b/ok\nDisallow:\n\nUser-agent: bot\nUser-agent: Other\nCrawl-delay: 3\nDisallow: /"), ("https://v", None)], "domain string, text string")
+    assert {r.url for r in robots_allowed(asked, robots_table(files)).collect()} == {f"{S}/a", f"{S}/b/ok/1", "https://t/b", "https://u/b"}
+    assert {r.url for r in robots_allowed(asked, robots_table(files), "OTHER").collect()} == {"https://t/b", "https://u/b"}
 
 
 def test_sinks(spark, tmp_path):
