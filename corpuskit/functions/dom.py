@@ -77,22 +77,24 @@ class Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("#document")
+        self.open: dict[str, int] = {}  # so that a stray end tag needs no walk
 
     def handle_starttag(self, tag, attrs):
         made = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(made)
         if tag not in VOID:
             self.at = made
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        found = self.at
-        while found is not self.root and found.tag != tag:
-            found = found.parent
-        if found is not self.root:
-            self.at = found.parent
+        if self.open.get(tag):
+            ended = ""
+            while ended != tag:
+                ended, self.at = self.at.tag, self.at.parent
+                self.open[ended] -= 1
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -223,12 +225,8 @@ def to_markdown(page: str, strip: tuple[str, ...] = ("img",)) -> str:
     """Markdown of a page: headings, paragraphs, emphasis, links, lists, quotes, code, rules and tables; tags in strip leave their text only."""
     out: list[str] = []
 
-    def inline(e: Element | str) -> str:
-        if isinstance(e, str):
-            return re.sub(r"\s+", " ", e)
-        if e.tag in ("script", "style", "head", "title"):
-            return ""
-        inner = "".join(map(inline, e.children))
+    def whole(e: Element, inner: str) -> str:
+        """An inline element around what is made of its content."""
         if e.tag in strip:
             return inner
         if e.tag in ("b", "strong") and inner.strip():
@@ -243,41 +241,61 @@ def to_markdown(page: str, strip: tuple[str, ...] = ("img",)) -> str:
             return f"![{e.attrs.get('alt', '')}]({e.attrs.get('src', '')})"
         return "  \n" if e.tag == "br" else inner
 
-    def block(e: Element, indent: str = "") -> None:
+    def inline(top: Element | str) -> str:
+        # frames of (element, rest of its content, what is made so far): pages may be deep
+        frames: list[tuple[Element, Iterator, list[str]]] = [(Element("#inline"), iter([top]), [])]
+        while True:
+            e, rest, made = frames[-1]
+            for c in rest:
+                if isinstance(c, str):
+                    made.append(re.sub(r"\s+", " ", c))
+                elif c.tag not in ("script", "style", "head", "title"):
+                    frames.append((c, iter(c.children), []))
+                    break
+            else:
+                frames.pop()
+                if not frames:
+                    return "".join(made)
+                frames[-1][2].append(whole(e, "".join(made)))
+
+    def block(top: Element) -> None:
         run: list[str] = []
 
         def flush() -> None:
             if text := "".join(run).strip():
-                out.append(indent + text)
+                out.append(text)
             run.clear()
 
-        for c in e.children:
-            if isinstance(c, str) or c.tag in ("a", "b", "strong", "i", "em", "code", "img", "span", "br", "u", "small", "sub", "sup"):
-                run.append(inline(c))
-                continue
-            flush()
-            if c.tag in ("script", "style", "head", "title"):
-                continue
-            if re.fullmatch("h[1-6]", c.tag):
-                out.append(indent + "#" * int(c.tag[1]) + " " + inline(c).strip())
-            elif c.tag in ("ul", "ol"):
-                lines = []
-                for n, item in enumerate((x for x in c.children if isinstance(x, Element) and x.tag == "li"), 1):
-                    lines.append(f"{indent}{'*' if c.tag == 'ul' else f'{n}.'} {inline(item).strip()}")
-                out.append("\n".join(lines))
-            elif c.tag == "blockquote":
-                out.append("\n".join(f"> {line}" for line in inline(c).strip().split("\n")))
-            elif c.tag == "pre":
-                out.append("```\n" + "".join(c.strings()).strip("\n") + "\n```")
-            elif c.tag == "hr":
-                out.append("---")
-            elif c.tag == "table":
-                rows = [[inline(x).strip() for x in r.children if isinstance(x, Element) and x.tag in ("td", "th")] for r in c.below() if r.tag == "tr"]
-                if rows:
-                    out.append("\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]))
+        open_boxes = [iter(top.children)]
+        while open_boxes:
+            for c in open_boxes[-1]:
+                if isinstance(c, str) or c.tag in ("a", "b", "strong", "i", "em", "code", "img", "span", "br", "u", "small", "sub", "sup"):
+                    run.append(inline(c))
+                    continue
+                flush()
+                if c.tag in ("script", "style", "head", "title"):
+                    continue
+                if re.fullmatch("h[1-6]", c.tag):
+                    out.append("#" * int(c.tag[1]) + " " + inline(c).strip())
+                elif c.tag in ("ul", "ol"):
+                    items = [x for x in c.children if isinstance(x, Element) and x.tag == "li"]
+                    out.append("\n".join(f"{'*' if c.tag == 'ul' else f'{n}.'} {inline(item).strip()}" for n, item in enumerate(items, 1)))
+                elif c.tag == "blockquote":
+                    out.append("\n".join(f"> {line}" for line in inline(c).strip().split("\n")))
+                elif c.tag == "pre":
+                    out.append("```\n" + "".join(c.strings()).strip("\n") + "\n```")
+                elif c.tag == "hr":
+                    out.append("---")
+                elif c.tag == "table":
+                    rows = [[inline(x).strip() for x in r.children if isinstance(x, Element) and x.tag in ("td", "th")] for r in c.below() if r.tag == "tr"]
+                    if rows:
+                        out.append("\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]))
+                else:
+                    open_boxes.append(iter(c.children))
+                    break
             else:
-                block(c, indent)
-        flush()
+                flush()
+                open_boxes.pop()
 
     block(tree(page))
     return "\n\n".join(x for x in out if x.strip())

@@ -4,16 +4,16 @@ from pyspark.sql import functions as F
 from corpuskit.functions import urls
 from corpuskit.functions.dom import PageOptions, extract, select, to_markdown, tree
 
-U = "https://example.com"
+U = "https://pier.example"
 
 
 def test_basic_page():
-    got = extract("<html><head><title> Test Page </title></head><body><h1>Head</h1><p>One &amp; two.<p>Three<script>x</script><a href=/page1>a</a><img src=i.png></body>", U)
-    assert got["title"] == "Test Page" and got["text"] == "Test Page Head One & two. Three a" and got["links"] == [f"{U}/page1"] and got["images"] == []
+    got = extract("<html><head><title> Harbour  log </title></head><body><h1>Head</h1><p>One &amp; two.<p>Three<script>x</script><a href=/page1>a</a><img src=i.png></body>", U)
+    assert got["title"] == "Harbour  log" and got["text"] == "Harbour  log Head One & two. Three a" and got["links"] == [f"{U}/page1"] and got["images"] == []
 
 
 def test_links():
-    page = "".join(f"<a href='{h}'>x</a>" for h in ("/page1", "https://example.com/page2#top", "page3;v=1?q=2", "mailto:a@b", "tel:1", "javascript:x", "#", " /page1 "))
+    page = "".join(f"<a href='{h}'>x</a>" for h in ("/page1", "https://pier.example/page2#top", "page3;v=1?q=2", "mailto:a@b", "tel:1", "javascript:x", "#", " /page1 "))
     assert extract(page, U)["links"] == [f"{U}/page1", f"{U}/page2", f"{U}/page3?q=2"]
     page = "<a href=/blog/a>1</a><a href=/products/b>2</a><a href=/about>3</a><a href=/x>4</a>"
     assert extract(page, U, PageOptions(allowed_url_patterns=("/blog/", "/products/")))["links"] == [f"{U}/blog/a", f"{U}/products/b"]
@@ -52,10 +52,16 @@ def test_markdown():
     assert "1. z" in to_markdown("<ol><li>z</ol>") and "> q" in to_markdown("<blockquote>q</blockquote>") and "![t](i)" in to_markdown("<img src=i alt=t>", ())
 
 
+def test_deep_pages():
+    n = 20_000
+    assert to_markdown("<b>" * n + "x") == "**" * n + "x" + "**" * n and to_markdown("<div>" * n + "y" + "</z>" * n) == "y"
+    assert extract("<div>" * n + "<a href=/p>y</a>" + "</z>" * n, U)["links"] == [f"{U}/p"]
+
+
 def test_url_columns(spark):
-    rows = [("https://sub.domain.com:8080/page?x#y", "/a;b?c#d"), ("http://h/p.JPG?x", "https://z/q;r")]
+    rows = [("https://quay.pier.example:8443/page?x#y", "/a;b?c#d"), ("http://h/p.JPG?x", "https://z/q;r")]
     df = spark.createDataFrame(rows, "u string, h string")
     got = df.select(urls.domain(F.col("u")).alias("d"), urls.canonical_link(F.col("u"), F.col("h")).alias("c"), urls.rooted_link(F.col("u"), F.col("h")).alias("r"), urls.extension(F.col("u")).alias("e")).collect()
-    assert [r.d for r in got] == ["https://sub.domain.com:8080", "http://h"]
-    assert [r.c for r in got] == [r.r for r in got] == ["https://sub.domain.com:8080/a?c", "https://z/q"]
+    assert [r.d for r in got] == ["https://quay.pier.example:8443", "http://h"]
+    assert [r.c for r in got] == [r.r for r in got] == ["https://quay.pier.example:8443/a?c", "https://z/q"]
     assert got[1].e == "jpg"
