@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from corpuskit.functions import scalars, urls, vectors
 from corpuskit.functions.dom import PageOptions, markdown, page_fields
 from corpuskit.operators import collection, crawl, embedding, provider
 from corpuskit.sources import sinks
+from corpuskit.storage import shared_folder
 from corpuskit.streaming import responses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,14 +81,32 @@ def knn_batch_topk(spark, d):
     return collection.nearest_batch(e, asked, 5, key="vec_id").select("query_id", "vec_id", (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, label, CAST(NULL AS DOUBLE) AS score FROM embeddings WHERE vec_id = 7")
+def _collection(spark, rows: DataFrame) -> collection.Collection:
+    """A new collection in the shared folder that holds rows."""
+    made = collection.Collection(spark, uuid.uuid4().hex, f"{shared_folder(spark)}/corpuskit/collections")
+    made.add(rows)
+    return made
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit(None).cast("string").alias("content"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, '' AS content, CAST(label AS VARCHAR) AS label, CAST(NULL AS DOUBLE) AS score FROM embeddings WHERE vec_id = 7")
 def vec_get_by_id(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id = 7").select("vec_id", F.size("embedding").cast("bigint").alias("dim"), "label", F.lit(None).cast("double").alias("score"))
+    found = _collection(spark, _vectors(spark, d)).get(7)
+    return spark.createDataFrame([(found["id"], found["content"], found["metadata"]["label"], found["score"])], "id string, content string, label string, score double")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, label, score FROM (SELECT e.vec_id, e.label, round({DISTANCE.format(a='e.embedding', b='q.embedding')}, 6) + 0.0 AS score, row_number() OVER (ORDER BY {DISTANCE.format(a='e.embedding', b='q.embedding')}, CAST(e.vec_id AS VARCHAR)) AS place FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label > 2) WHERE place <= 10")
+def vec_query(spark, d):
+    found = _collection(spark, _vectors(spark, d)).query(_first_vector(table(spark, d, "embeddings")), {"label": {"$gt": 2}}, 10)
+    return found.select("id", F.element_at("metadata", "label").cast("int").alias("label"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("SELECT count(*) AS n FROM embeddings")
 def vec_count(spark, d):
-    return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_collection(spark, _vectors(spark, d)).count(),)], "n bigint")
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -94,40 +114,49 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def _digest(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.element_at("metadata", "source").alias("source"))
+    return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.element_at("metadata", "source").alias("source"), F.element_at("embedding", 1).cast("double").alias("v"))
+
 
+V = "CAST(CAST(n_chars AS FLOAT) AS DOUBLE)"
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS content_md5, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), md5('new'), source FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE 'new' END) AS content_md5, source, {V} AS v FROM documents")
 def vec_insert_ignore_dup(spark, d):
+    """Half of all documents are there; all come again with another text."""
     rows = _documents(table(spark, d, "documents"))
-    number = F.col("id").cast("bigint")
-    return _digest(collection.inserted(rows.filter(number % 2 == 0), rows.filter(number % 3 == 0).withColumn("content", F.lit("new"))))
+    held = _collection(spark, rows.filter(F.col("id").cast("bigint") % 2 == 0))
+    held.add(rows.withColumn("content", F.lit("new")))
+    return _digest(held.rows())
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE coalesce(text, '') END) AS content_md5, CASE WHEN doc_id % 10 = 0 THEN 'moved' ELSE source END AS source FROM documents")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE coalesce(text, '') END) AS content_md5, CASE WHEN doc_id % 10 = 0 THEN 'moved' ELSE source END AS source, CASE WHEN doc_id % 5 = 0 THEN -1.0 ELSE {V} END AS v FROM documents")
 def vec_update_partial(spark, d):
     rows = _documents(table(spark, d, "documents"))
     number = F.col("id").cast("bigint")
-    change = rows.filter(number % 5 == 0).select("id", F.lit("changed").alias("content"), "embedding", F.when(number % 10 == 0, F.create_map(F.lit("source"), F.lit("moved"))).alias("metadata"))
+    change = rows.filter(number % 5 == 0).select("id", F.lit("changed").alias("content"), F.array(F.lit(-1.0).cast("float")).alias("embedding"), F.when(number % 10 == 0, F.create_map(F.lit("source"), F.lit("moved"))).alias("metadata"))
     return _digest(collection.updated(rows, change))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS content_md5, source FROM documents WHERE doc_id % 4 <> 1")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS content_md5, source, {V} AS v FROM documents WHERE doc_id % 4 <> 1")
 def vec_delete(spark, d):
     rows = _documents(table(spark, d, "documents"))
     gone = rows.filter(F.col("id").cast("bigint") % 4 == 1).select("id").unionByName(spark.createDataFrame([("no such id",)], "id string"))
     return _digest(collection.deleted(rows, gone))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query("SELECT count(*) AS before, CAST(0 AS BIGINT) AS n FROM embeddings")
 def vec_clear(spark, d):
-    return _documents(table(spark, d, "documents")).limit(0).agg(F.count(F.lit(1)).alias("n"))
+    held = _collection(spark, _vectors(spark, d))
+    before = held.count()
+    held.clear()
+    return spark.createDataFrame([(before, held.count())], "before bigint, n bigint")
 
 
 @query("SELECT count(*) AS n, CAST(count(*) FILTER (WHERE doc_id IS NULL OR n_chars % 7 = 0) AS BIGINT) AS invalid FROM documents")
 def vec_validate(spark, d):
     rows = _documents(table(spark, d, "documents")).withColumn("embedding", F.when(F.element_at("embedding", 1).cast("bigint") % 7 != 0, F.col("embedding")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull() | F.col("embedding").isNull()).alias("invalid"))
+    both = rows.select(F.lit(1).alias("n"), F.lit(0).alias("invalid")).unionAll(collection.invalid(rows).select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("n").alias("n"), F.sum("invalid").alias("invalid"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x * CAST(3 AS FLOAT) AS DOUBLE) * CAST(x * CAST(3 AS FLOAT) AS DOUBLE)))), 4) AS before, CAST(1.0 AS DOUBLE) AS after FROM embeddings")
@@ -167,9 +196,9 @@ def _hrefs(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages")
 def page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    return table(spark, d, "pages").select("page_id", page_fields(F.col("html"), F.col("url"))["title"].alias("title"))
 
 
 TEXT_RULES = ((r"(?is)<(script|style|nav|footer|header)\b.*?</(script|style|nav|footer|header)>", ""), (r"(?s)<!--.*?-->", ""))
@@ -299,15 +328,15 @@ def politeness_gap(spark, d):
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def image_first_seen(spark, d):
-    # first_seen ranks by window; for items with very many rows, the smallest struct combines before the shuffle
-    first = table(spark, d, "events").groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    return first.select("event_type", "f.event_id")
+    return sinks.first_seen(table(spark, d, "events").select("event_type", "ts", "event_id"), "event_type", "ts", "event_id").select("event_type", "event_id")
 
 
-@query(f"SELECT page_id, link FROM (SELECT page_id, {RESOLVED} AS link FROM ({LINKS}) WHERE page_id % 2 = 0 UNION SELECT page_id, {RESOLVED} FROM ({LINKS}) WHERE page_id % 3 = 0)")
+@query(f"SELECT DISTINCT page_id, {RESOLVED} AS link FROM ({LINKS})")
 def link_zone_union(spark, d):
-    links = _hrefs(spark, d).select("page_id", urls.rooted_link(F.col("url"), F.col("href")).alias("link"))
-    return links.filter("page_id % 2 = 0").unionByName(links.filter("page_id % 3 = 0")).distinct()
+    """The links of a zone that holds none, and of two link selectors that between them hold all."""
+    zones = PageOptions(content_selector="title", exclude_selectors=(), extract_links_from_content_only=True, link_selectors=("nav", "body"))
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", F.explode(page_fields(F.col("html"), F.col("url"), zones)["links"]).alias("link"))
 
 
 def _rows_of_pages(spark, d) -> DataFrame:
@@ -422,10 +451,6 @@ def chat_history(spark, d):
 
 @query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def stream_live_fold(spark, d):
-    import uuid
-
-    from corpuskit.storage import shared_folder
-
     where = f"{shared_folder(spark)}/corpuskit/live-{uuid.uuid4().hex}"
     lines = _lines(spark, d)
     lines.write.parquet(f"{where}/in")

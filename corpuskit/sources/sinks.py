@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Without these, quotes, empty strings and outer white space don't survive; rows end in a line feed.
 CSV = {"header": "true", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8"}
@@ -23,9 +22,10 @@ def pages_view(pages: DataFrame) -> DataFrame:
 
 
 def first_seen(items: DataFrame, item: str, *order: str) -> DataFrame:
-    """The first row of each item in an order."""
-    rank = F.row_number().over(Window.partitionBy(item).orderBy(*order))
-    return items.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    """The first row of each item in an order. The smallest row combines before the shuffle, so items with very many rows do no harm."""
+    rest = [c for c in items.columns if c != item and c not in order]
+    first = items.groupBy(item).agg(F.min(F.struct(*order, *rest)).alias("__first"))
+    return first.select(item, *(F.col(f"__first.{c}").alias(c) for c in (*order, *rest))).select(*items.columns)
 
 
 def images_view(pages: DataFrame) -> DataFrame:
