@@ -2,9 +2,10 @@
 
 Every element and every run of text of a page is a variable with three states: no part of the main
 text, wholly main text, or a box that holds both. Potentials tie a child's state to its parent's
-(other ones for boxes, for inline elements and for texts), and each node's state to what is seen of
-it: its tag, the words of its class, id and role, how much text it holds and how much of that is
-links. Sum-product messages pass up from the leaves and down from the root; they give exact
+(other ones for boxes, for paragraphs and the like, for inline elements and for texts), and each node's
+state to what is seen of it: its tag and the section it is in, the words of its class, id and role, how
+much text it holds, alone and as a share of the page's, how many sentences, how much of it is links, and
+whether it is the first or last text of the page. Sum-product messages pass up from the leaves and down from the root; they give exact
 marginals, as a page is a tree. Runs of text that are more likely main text than not are kept.
 
 The potentials are trained on labelled pages by the gradient of the labels' likelihood, whose
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.llm._shared import in_arrow
-from corpuskit.llm.labelled_pages import labelled_pages
+from corpuskit.llm.labelled_pages import MAIN as MAIN_NAMES
+from corpuskit.llm.labelled_pages import NAMES, WRAPPERS, labelled_pages
 from corpuskit.llm.page_tree import RAW, STRUCTURAL, Node, clean, parse
 
 OUTSIDE, MAIN, BOTH = 0, 1, 2
+ENDS = tuple(".!?…")
+#: Elements that set apart a part of a page.
+SECTIONS = frozenset("article main section nav aside header footer form dialog table".split())
+#: Blocks that hold running text rather than other boxes.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption table thead tbody tr td th".split())
+#: Bounds of the shares of a page's text outside links.
+SHARES = (0.02, 0.1, 0.3, 0.6, 0.9)
+KINDS = 4
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+def _words(lists: list[list[str]]) -> frozenset[str]:
+    return frozenset(w.lower() for names in lists for name in names for w in NAME.findall(name))
+
+
+#: Words of names of the parts beside main text, and of main text and its wrappers.
+WITHIN = _words([MAIN_NAMES, WRAPPERS])
+BESIDE = _words(list(NAMES.values())) - WITHIN
 #: Log prior of a page's root: nearly every page holds main text and more.
 ROOT = np.array([-8.0, -5.0, 0.0])
 #: Pages whose trees go through the messages together, by nodes.
@@ -61,6 +79,8 @@ def size_bin(n: int) -> int:
 class Page:
     """A parsed page: its nodes, their parents, depths and kinds, and what is seen of each."""
 
+    # kind, by which blocks are cut: 0 box, 1 inline element, 2 text; tie, by which potentials are shared: the same, and 3 for paragraphs
+
     def __init__(self, page: str):
         self.nodes = flat(parse(page))
         n = len(self.nodes)
@@ -68,35 +88,54 @@ class Page:
         self.depth = [d for _, _, d in self.nodes]
         length, linked = [0] * n, [0] * n
         self.in_link = [False] * n
+        self.section, sentences, ahead = ["none"] * n, [0] * n, [0] * n
+        plain = 0
         for i, (node, p, _) in enumerate(self.nodes):
+            ahead[i] = plain
             if isinstance(node, str):
                 length[i] = len(node)
                 linked[i] = len(node) if self.in_link[p] else 0
+                self.section[i] = self.section[p]
+                if self.nodes[p][0].tag not in RAW:
+                    plain += length[i] - linked[i]
+                    sentences[i] = node.rstrip()[-1:] in ENDS and not linked[i]
             else:
+                self.section[i] = node.tag if node.tag in SECTIONS else self.section[p] if p >= 0 else "none"
                 self.in_link[i] = node.tag == "a" or p >= 0 and self.in_link[p]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             length[p] += length[i]
             linked[p] += linked[i]
-        self.length, self.linked = length, linked
-        #: 0: box, 1: inline element, 2: text
+            sentences[p] += sentences[i]
+        self.length, self.linked, self.sentences, self.ahead, self.plain = length, linked, sentences, ahead, plain
         self.kind = [2 if isinstance(x, str) else 0 if x.tag in STRUCTURAL or x is self.nodes[0][0] else 1 for x, _, _ in self.nodes]
+        self.tie = [3 if not k and x.tag in PARAGRAPHS else k for k, (x, _, _) in zip(self.kind, self.nodes, strict=True)]
 
     def seen(self, i: int) -> tuple:
         node, p, _ = self.nodes[i]
         if isinstance(node, str):
             above = self.nodes[p][0].tag
-            ends = node.rstrip()[-1:] in ".!?…"
-            return ("text", f"of:{above}", f"size:{size_bin(self.length[i])}:{ends:d}", f"link:{self.in_link[p]:d}")
+            return ("text", f"of:{above}", f"size:{size_bin(self.length[i])}:{self.sentences[i]:d}", f"link:{self.in_link[p]:d}", f"text in:{self.section[i]}")
         n = self.length[i]
         share = 0 if not self.linked[i] else 1 + min(3, 4 * self.linked[i] // n)
         names = ()
         if node.attributes:
             text = " ".join(node.attribute(a) for a in ("class", "id", "role"))
-            names = tuple(sorted({f"name:{w.lower()}" for w in NAME.findall(text)}))
+            words = {w.lower() for w in NAME.findall(text)}
+            names = tuple(sorted(f"name:{w}" for w in words))
+            # rare names lean on those of their like
+            if words & BESIDE:
+                names += ("named:beside", f"named beside in:{self.section[p] if p >= 0 else 'none'}")
+            if words & WITHIN:
+                names += ("named:within",)
             if re.search(r"\bhidden\b|display:\s*none", node.attributes):
                 names += ("name:hidden",)
-        return ("box", f"tag:{node.tag}", f"held:{size_bin(n)}", f"links:{share}:{min(size_bin(n), 8) // 3}", *names)
+        own = n - self.linked[i]
+        part = bisect_right(SHARES, own / self.plain) if self.plain else -1
+        kind = self.tie[i]
+        around = f"around:{kind}:{self.ahead[i] == 0:d}{self.ahead[i] + own >= self.plain:d}" if own else "around:no text"
+        inside = self.section[p] if p >= 0 else "none"
+        return ("box", f"tag:{node.tag}", f"in:{inside}:{node.tag}", f"held:{size_bin(n)}", f"part:{kind}:{part}", f"ended:{kind}:{min(self.sentences[i], 3)}", around, f"links:{share}:{min(size_bin(n), 8) // 3}", *names)
 
 
 class Trees:
@@ -105,7 +144,7 @@ class Trees:
     def __init__(self, pages: list[Page]):
         self.base = np.cumsum([0, *(len(p.nodes) for p in pages)])
         self.parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + b) for p, b in zip(pages, self.base[:-1], strict=True)])
-        depth, self.kind = (np.concatenate([np.array(getattr(p, a)) for p in pages]) for a in ("depth", "kind"))
+        depth, self.kind = (np.concatenate([np.array(getattr(p, a)) for p in pages]) for a in ("depth", "tie"))
         self.levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
 
     def messages(self, across: np.ndarray, evidence: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -166,7 +205,7 @@ def states(page: Page) -> list[int]:
     return [BOTH if len(h) == 2 else next(iter(h), label[i]) for i, h in enumerate(has)]
 
 
-def train(texts: list[str], rounds: int = 80, rate: float = 0.15, prior: float = 0.02) -> Model:
+def train(texts: list[str], rounds: int = 80, rate: float = 0.15, prior: float = 0.004) -> Model:
     """Potentials from labelled pages, in which elements carry data-main="yes" or "no", inherited below.
 
     The likelihood of the labels is climbed by its gradient, the difference between the observed
@@ -187,13 +226,13 @@ def train(texts: list[str], rounds: int = 80, rate: float = 0.15, prior: float =
     below = np.nonzero(trees.parent >= 0)[0]
     size = len(names) * 3
     observed = np.bincount(columns * 3 + state[rows], minlength=size)
-    observed = np.concatenate([observed, np.bincount(trees.kind[below] * 9 + state[trees.parent[below]] * 3 + state[below], minlength=27)])
-    weights = np.zeros(size + 27)
+    observed = np.concatenate([observed, np.bincount(trees.kind[below] * 9 + state[trees.parent[below]] * 3 + state[below], minlength=9 * KINDS)])
+    weights = np.zeros(size + 9 * KINDS)
     speed, spread = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
         evidence = np.add.reduceat(weights[:size].reshape(-1, 3)[columns], starts)
-        pairs = np.zeros((3, 3, 3))
-        belief, _ = trees.messages(weights[size:].reshape(3, 3, 3), evidence, pairs)
+        pairs = np.zeros((KINDS, 3, 3))
+        belief, _ = trees.messages(weights[size:].reshape(KINDS, 3, 3), evidence, pairs)
         share = np.exp(belief)[rows]
         expected = np.concatenate([np.stack([np.bincount(columns, share[:, s], len(names)) for s in range(3)], 1).ravel(), pairs.ravel()])
         gradient = (observed - expected) / len(pages) - prior * weights / 10
@@ -201,7 +240,7 @@ def train(texts: list[str], rounds: int = 80, rate: float = 0.15, prior: float =
         speed += 0.1 * (gradient - speed)
         spread += 0.01 * (gradient**2 - spread)
         weights += rate * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-6)
-    return Model(weights[size:].reshape(3, 3, 3), {f: weights[3 * c : 3 * c + 3] for f, c in names.items()})
+    return Model(weights[size:].reshape(KINDS, 3, 3), {f: weights[3 * c : 3 * c + 3] for f, c in names.items()})
 
 
 def kept_text(page: Page, marginals: np.ndarray) -> str:
@@ -232,7 +271,7 @@ _models: dict[int, Model] = {}
 
 def default_model() -> Model:
     if 0 not in _models:
-        _models[0] = train(labelled_pages(400))
+        _models[0] = train(labelled_pages(700))
     return _models[0]
 
 
