@@ -93,19 +93,19 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
 def sets_of(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     """id, n, class of each (id, text); and either the hashes that the first order counts, of which
     the first `tested` are the set's own test, or the whole set with its prefixes in orders 3 and 4."""
-    schema = "id bigint, n bigint, class string" + (", hashes array<bigint>, third array<int>, fourth array<int>" if whole else ", short bigint, tested bigint, hashes array<bigint>")
+    schema = "id bigint, n bigint, class binary" + (", hashes array<bigint>, third array<int>, fourth array<int>" if whole else ", short bigint, tested bigint, hashes array<bigint>")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         n = [len(s) for s in sets]
-        kinds = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-        out = [ids, pa.array(n, pa.int64()), pa.array(kinds, pa.string())]
+        kinds = [hashlib.md5(s.tobytes()).digest() for s in sets]
+        out = [ids, pa.array(n, pa.int64()), pa.array(kinds, pa.binary())]
         if whole:
             first = [may_miss(k, percent) + 1 for k in n]
             orders = [[np.sort(scrambled(s, key))[:f].astype(np.uint32).view(np.int32) for s, f in zip(sets, first, strict=True)] for key in (3, 4)]
             out += [_lists(list(map(signed, sets)), pa.int64()), *(_lists(o, pa.int32()) for o in orders)]
         else:
-            out.append(pa.array([int(c[:15], 16) for c in kinds], pa.int64()))
+            out.append(pa.array([int.from_bytes(c[:8]) >> 4 for c in kinds], pa.int64()))
             out.append(pa.array([below(s, share(k, width, percent)) for s, k in zip(sets, n, strict=True)], pa.int64()))
             # a partner may be smaller, and then its test reaches farther
             out.append(_lists([signed(s[: below(s, share(percent * k // 100, width, percent))]) for s, k in zip(sets, n, strict=True)], pa.int64()))
