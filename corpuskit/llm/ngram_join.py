@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuskit.llm._shared import dropped, in_arrow, written
 from corpuskit.llm.components import components
@@ -122,21 +123,29 @@ def sets_of(df: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     return in_arrow(df, run, schema)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of classes (x, y), those that link, as a, b of their ids."""
-    light = lambda s: sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("class", "id", "n", "third", "fourth")))
-    heavy = lambda s: sets.select(F.col("class").alias(f"c_{s}"), F.col("hashes").alias(f"hashes_{s}"))
-    met = pairs.join(light("x"), F.col("x") == F.col("class_x")).join(light("y"), F.col("y") == F.col("class_y"))
+def _few(rows: DataFrame) -> DataFrame:
+    """rows for a join: sent to every task, or shuffled when there are more than BROADCAST_IDS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, held: list[str]) -> DataFrame:
+    """Of pairs of rows of sets (x, y), those that link, as a, b of their ids. Only the sets of pairs that pass the orders 3 and 4 are shuffled whole."""
+    light = lambda s: sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("row", "id", "n", "third", "fourth")))
+    met = pairs.join(light("x"), F.col("x") == F.col("row_x")).join(light("y"), F.col("y") == F.col("row_y"))
     met = met.filter(F.arrays_overlap("third_x", "third_y") & F.arrays_overlap("fourth_x", "fourth_y")).select("x", "y", "id_x", "id_y", "n_x", "n_y")
-    met = met.join(heavy("y"), F.col("y") == F.col("c_y")).join(heavy("x"), F.col("x") == F.col("c_x"))
+    met = written(met, "met", held)
+    asked = written(met.select(F.explode(F.array("x", "y")).alias("r")).distinct(), "asked", held)
+    whole = sets.select("row", "hashes").join(_few(asked), F.col("row") == F.col("r"), "left_semi")
+    heavy = lambda s: whole.select(F.col("row").alias(f"r_{s}"), F.col("hashes").alias(f"hashes_{s}"))
+    met = met.join(heavy("y"), F.col("y") == F.col("r_y")).join(heavy("x"), F.col("x") == F.col("r_x"))
     both = F.size(F.array_intersect("hashes_x", "hashes_y")).cast("bigint")
     return met.filter(both * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
 def _pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes in different parts that share a prefix shingle, at places and of sizes that leave a link possible.
+    """Pairs (x, y) of rows of sets in different parts that share a prefix shingle, at places and of sizes that leave a link possible.
 
-    placed: class, n, at, h, part. Sizes of linked sets differ little, so a shingle's sets are parted by
+    placed: row, n, at, h, part. Sizes of linked sets differ little, so a shingle's sets are parted by
     size as well, and each meets those of its own step of sizes and of the next. Where more than HOT sets
     hold a shingle they are parted by the tokens of their third prefix too, which any linked pair shares,
     so that no task enumerates all pairs of a hot shingle.
@@ -145,15 +154,15 @@ def _pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = placed.withColumn("step", step)
     counts = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low < high")
     placed = placed.join(counts.select("h", (F.col("sets") > HOT).alias("hot")), "h")
-    third = sets.select(F.col("class").alias("c"), "third")
-    hot = placed.filter("hot").join(third, F.col("class") == F.col("c")).withColumn("t", F.explode("third"))
-    keyed = placed.filter("NOT hot").withColumn("t", F.lit(0)).select("class", "n", "at", "h", "t", "step", "part").unionByName(hot.select("class", "n", "at", "h", "t", "step", "part"))
+    third = sets.select(F.col("row").alias("r"), "third")
+    hot = placed.filter("hot").join(third, F.col("row") == F.col("r")).withColumn("t", F.explode("third"))
+    keyed = placed.filter("NOT hot").withColumn("t", F.lit(0)).select("row", "n", "at", "h", "t", "step", "part").unionByName(hot.select("row", "n", "at", "h", "t", "step", "part"))
     x = keyed.withColumn("meets", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
     met = (F.col("h_x") == F.col("h_y")) & (F.col("t_x") == F.col("t_y")) & (F.col("meets_x") == F.col("step_y")) & (F.col("part_x") != F.col("part_y")) & enough("x", "y", percent)
-    # of one step, each pair once; the smaller class first in the end
-    met = met & ((F.col("step_x") != F.col("step_y")) | (F.col("class_x") < F.col("class_y")))
-    return side(x, "x").join(side(keyed, "y"), met).select(F.least("class_x", "class_y").alias("x"), F.greatest("class_x", "class_y").alias("y")).distinct()
+    # of one step, each pair once; the smaller row first in the end
+    met = met & ((F.col("step_x") != F.col("step_y")) | (F.col("row_x") < F.col("row_y")))
+    return side(x, "x").join(side(keyed, "y"), met).select(F.least("row_x", "row_y").alias("x"), F.greatest("row_x", "row_y").alias("y")).distinct()
 
 
 def enough(a: str, b: str, percent: int) -> "F.Column":
@@ -193,31 +202,36 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     left = classes.join(alone, "short", "left").join(twins, "short", "left")
     left = left.filter((F.coalesce("alone", F.lit(0)) <= room_to_miss(percent)) | F.col("classes").isNotNull())
     left = written(left.select("id", "class"), "left", held)
-    ids = left.select("id").distinct()
-    ids = F.broadcast(ids) if left.count() <= BROADCAST_IDS else ids
+    ids = _few(left.select("id").distinct())
     sets = sets_of(docs.join(ids, "id", "left_semi"), width, percent, whole=True).filter("n > 0")
-    # a class's set under the key that names it, though that key may have other rows
-    sets = sets.join(left.select(F.col("id").alias("i"), F.col("class").alias("c")), (F.col("id") == F.col("i")) & (F.col("class") == F.col("c")), "left_semi")
-    sets = written(sets.dropDuplicates(["class"]), "sets", held)
-
-    # order 2: rarest first among the sets that are left
-    tokens = sets.select("class", "id", "n", F.explode("hashes").alias("h"))
-    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    common = tokens.join(counts, "h").groupBy("class", "id", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("shared"))
-    common = common.withColumn("rare", F.col("n") - F.size("shared")).withColumn("room", room_to_miss(percent) - F.col("rare") + 1).filter("room > 0")
-    prefix = common.select("class", "id", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("room").cast("int"))).alias("k", "t"))
-    prefix = written(prefix.select("class", "id", "n", "rare", (F.col("rare") + F.col("k")).alias("at"), F.col("t.h").alias("h")), "prefix", held)
+    # from here on a set is known by its row here, 8 bytes
+    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "sets", held)
+    # a class's set stays under the key that names it, and once: only rows that repeat a key can go
+    named = left.select(F.col("id").alias("i"), F.col("class").alias("c"))
+    kept = sets.select("id", "class", "row").join(named, (F.col("id") == F.col("i")) & (F.col("class") == F.col("c")), "left_semi").groupBy("class").agg(F.min("row").alias("r"))
+    again = written(sets.select("row").join(kept, F.col("row") == F.col("r"), "left_anti").select(F.col("row").alias("r")), "again", held)
+    if not again.isEmpty():
+        sets = written(sets.join(_few(again), F.col("row") == F.col("r"), "left_anti"), "sets", held)
+
+    # order 2: rarest first among the sets that are left. Shingles are shuffled once to be counted,
+    # and those of two sets or more once again to be ranked, each time only with the row of their set.
+    tokens = sets.select("row", F.explode("hashes").alias("h"))
+    common = tokens.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("sets > 1")
+    common = common.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("sets", "h")) - 1).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("row")))
+    common = common.join(sets.select(F.col("row").alias("r"), "id", "n"), F.col("row") == F.col("r")).withColumn("rare", F.col("n") - F.col("shared"))
+    prefix = common.filter(F.col("k") <= room_to_miss(percent) - F.col("rare"))
+    prefix = written(prefix.select("row", "id", "n", "rare", (F.col("rare") + F.col("k")).alias("at"), "h"), "prefix", held)
 
     side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
-    centres = prefix.groupBy("h").agg(F.min(F.struct("rare", "id", "class", "n", "at")).alias("c"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("h", "c.*")
-    stars = side(prefix, "y").join(side(centres, "x"), F.col("h_x") == F.col("h_y")).filter((F.col("class_x") != F.col("class_y")) & enough("x", "y", percent))
-    links = _compared(stars.select(F.col("class_x").alias("x"), F.col("class_y").alias("y")).distinct(), sets, percent)
+    centres = prefix.groupBy("h").agg(F.min(F.struct("rare", "id", "row", "n", "at")).alias("c"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("h", "c.*")
+    stars = side(prefix, "y").join(side(centres, "x"), F.col("h_x") == F.col("h_y")).filter((F.col("row_x") != F.col("row_y")) & enough("x", "y", percent))
+    links = _compared(stars.select(F.col("row_x").alias("x"), F.col("row_y").alias("y")).distinct(), sets, percent, held)
     links = written(links.unionByName(tied), "links", held)
 
     # what is left: pairs across components
     joined = components(links)
-    placed = prefix.join(joined, F.col("id") == F.col("node"), "left").select("class", "n", "at", "h", F.coalesce("component", "id").alias("part"))
-    more = written(_compared(_pairs(placed, sets, percent), sets, percent), "links", held)
+    placed = prefix.join(joined, F.col("id") == F.col("node"), "left").select("row", "n", "at", "h", F.coalesce("component", "id").alias("part"))
+    more = written(_compared(_pairs(placed, sets, percent), sets, percent, held), "links", held)
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
     dropped(spark, held)
 
@@ -230,5 +244,5 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     """The rows of df whose key is the smallest of its component, and those with a null key; rows that repeat a key stay or go together. Up to BROADCAST_IDS keys that go are sent to the scan, beyond it both sides shuffle."""
     found = near_duplicates(df, key, text, width, percent)
     gone = written(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = _few(gone)
     return df.join(gone, df[key] == gone["__key"], "left_anti").select(*df.columns)

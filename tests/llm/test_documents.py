@@ -95,6 +95,36 @@ def test_ngram_join_with_repeated_keys_and_hot_shingles(spark, monkeypatch, hot)
     assert {r.component_id for r in got if r.doc_id < 100} == {3}
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_ngram_join_of_rows_that_repeat_keys_and_sets(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", few)
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(reversed(words))
+    rows = [(5, near), (5, near), (5, other), (5, None), (9, near + " x"), (9, near + " x"), (7, other + " y"), (7, other + " y"), (8, "a b c d"), (8, "a b c d"), (4, near), (None, near)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(4, 4), (5, 4), (5, 5), (9, 4), (7, 4), (8, 8), (None, None)}
+
+
+def test_ngram_join_shuffles_shingles_alone(spark):
+    """Where no table is small enough to be broadcast by itself, whole sets are shuffled only when they are compared, and shingles with their set's row alone."""
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10_000)) for _ in range(600)) for _ in range(150)]
+    rows = [(i, t + " end" * (i % 2)) for i, t in enumerate(t for t in texts for _ in range(2))]
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {(x := found.apply(i)).stageId(): x.shuffleWriteBytes() for found in [store.stageList(None, False, False, none, None)] for i in range(found.size())}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages()
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        after = stages()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+    moved = sum(n for k, n in after.items() if k not in before) / (8 * sum(r.n_shingles for r in got))
+    assert moved < 9
+
+
 def test_ngram_join_without_rows(spark, docs):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
     one = ngram_join.first_of_each(docs)
